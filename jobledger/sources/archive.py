@@ -36,7 +36,11 @@ def _write(spark: SparkSession, sf_dir: str, part: str) -> str:
         else:
             orders = _rebalanced(table(spark, sf_dir, "orders"), "o_orderdate")
             df = merge_reports(orders).unionByName(log_collect_reports(orders))
-        with settings(spark, spark__sql__codegen__hugeMethodLimit="8000"):
+        # A document is about eight times the size of its source row, so a task
+        # gets an eighth of the usual bytes.
+        with settings(spark, spark__sql__codegen__hugeMethodLimit="8000",
+                      spark__sql__adaptive__advisoryPartitionSizeInBytes="16m",
+                      spark__sql__adaptive__coalescePartitions__minPartitionSize="128k"):
             df.write.mode("overwrite").partitionBy(*LAYOUT).parquet(path)
         _WRITTEN.add(path)
     return path
