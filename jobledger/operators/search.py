@@ -46,6 +46,10 @@ OPERATORS: dict[str, Callable[[Column, object], Column]] = {
 }
 
 
+def _comparison(op: str, wanted: object) -> Test:
+    return lambda value: OPERATORS[op](value, wanted)
+
+
 def _resolve(path: str) -> str:
     """Aliases and archive names of a dotted path as names of this model."""
     path = ALIASES.get(path, path)
@@ -106,7 +110,7 @@ def _condition(column: Column, kind: T.DataType, wanted: object, all_of_list: bo
             if op == "$all":
                 tests.append(_contains_all(column, value))
             elif op in OPERATORS:
-                tests.append(_apply(column, kind, lambda v, o=op, w=value: OPERATORS[o](v, w)))
+                tests.append(_apply(column, kind, _comparison(op, value)))
             else:
                 raise ValueError(f"unknown operator in spec: {op}")
         return reduce(and_, tests)

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "jobledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -72,3 +72,10 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write a result to the shared folder and read it back: short lineage that outlives executors."""
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -156,9 +156,10 @@ def processing_reports(lines: DataFrame, nation: DataFrame) -> DataFrame:
         "cast(n_nationkey as bigint) site_no",
         "concat('T', n_regionkey % 3 + 1, '_', n_name) site_name",
     )
-    named = base.withColumn("site_no", F.expr("sk % 25")).join(sites, "site_no", "left").selectExpr(
+    named = base.withColumn("site_no", F.expr("sk % 5")).join(sites, "site_no", "left").selectExpr(
         "*",
         "if(pk % 33 = 0, null, site_name) site0",
+        "unix_date(ship_day) day_no",
         "unix_date(ship_day) * 86400L + (pk * 37) % 86400 ts",
         "concat(ok, '-', ln) job_id",
     )
@@ -168,8 +169,8 @@ def processing_reports(lines: DataFrame, nation: DataFrame) -> DataFrame:
         "'hot' stage",
         "'fwjr' kind",
         "case when pk % 20 = 0 then concat('task', pk % 40) "
-        "     when pk % 20 = 1 then concat(ok % 500, ':user', sk % 10, ':crab', pk % 4) "
-        "     else concat('/wf_', ok % 500, '/block', ln, '/T', pk % 4) end task",
+        "     when pk % 20 = 1 then concat(day_no % 500, ':user', sk % 2, ':crab', pk % 2) "
+        "     else concat('/wf_', day_no % 500, '/block', ln, '/T', pk % 2) end task",
         "if(sk % 6 = 0, null, concat('Camp', sk % 6)) campaign",
         "concat('Prep-', pk % 25) prep_id",
         f"""cast(named_struct(
@@ -177,8 +178,8 @@ def processing_reports(lines: DataFrame, nation: DataFrame) -> DataFrame:
               'job_id', if(sk % 10 = 0, null, job_id),
               'crab_id', if(sk % 10 = 0 and sk % 20 <> 0, concat('c', ok), null),
               'host', concat('host', sk % 5), 'wn_name', concat('wn', ok % 100),
-              'jobtype', case when ln <= 3 then 'Processing' when ln = 4 then 'Production'
-                              when ln = 5 then 'Skim' when ln = 6 then 'Harvesting' else 'Cleanup' end,
+              'jobtype', case when ln <= 4 then 'Processing' when ln = 5 then 'Production'
+                              when ln = 6 then 'Harvesting' else 'Cleanup' end,
               'jobstate', case when not failed then 'success' when ls = 'O' then 'jobfailed'
                                else 'submitfailed' end,
               'ts', ts) as {META}) meta""",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobledger.functions.scalar import random_id
+from jobledger.session import materialise
 from jobledger.sources.sinks import append_new
 from jobledger.operators.quality import validate
 
@@ -53,7 +54,7 @@ def migrate(spark: SparkSession, hot: str, cold: str, bad: str, checkpoint: str,
                .option("maxFilesPerTrigger", files_per_batch).parquet(hot))
 
     def move(batch: DataFrame, _: int) -> None:
-        checked = validate(batch, schema).checkpoint()
+        checked = materialise(validate(batch, schema), "migrate")
         append_new(checked.where(F.size("errors") == 0).drop("errors"), cold, key="doc_key")
         append_new(checked.where(F.size("errors") > 0), bad, key="doc_key")
 
