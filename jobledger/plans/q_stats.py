@@ -25,18 +25,18 @@ def daily_counts(spark, sf):
     return stats.daily_counts(archive(spark, sf), "fwjr", 1998, [3, 4, 5])
 
 
-@query("a03_storage_stats", f", at AS ({_AT}) " + " UNION ALL ".join(f"""
+@query("a03_storage_stats", f", here AS ({_AT}) " + " UNION ALL ".join(f"""
   SELECT '{a}' AS attribute, count(*) FILTER (WHERE v = 0) AS count0, count(*) FILTER (WHERE v IS NULL) AS count1,
     count(v) AS total, avg(v) AS mean, coalesce(min(nullif(v, 0)), 0) AS min, greatest(max(v), 0) AS max, count(*) AS nrecords
-  FROM (SELECT storage_{a} AS v FROM at)""" for a in STORAGE_ATTRIBUTES))
+  FROM (SELECT storage_{a} AS v FROM here)""" for a in STORAGE_ATTRIBUTES))
 def storage(spark, sf):
     return stats.storage_stats(archive(spark, sf), SITES)
 
 
 @query("a04_storage_extremes", f"""
-  , at AS (SELECT a.report_id, r.job_id, r.host, storage_writeTotalSecs AS value FROM ({_AT}) a JOIN reports r USING (report_id))
-  SELECT 'max' AS which, * FROM (SELECT * FROM at WHERE value > 0 ORDER BY value DESC, report_id LIMIT 1)
-  UNION ALL SELECT 'min', * FROM (SELECT * FROM at WHERE value <> 0 ORDER BY value, report_id LIMIT 1)""")
+  , here AS (SELECT a.report_id, r.job_id, r.host, storage_writeTotalSecs AS value FROM ({_AT}) a JOIN reports r USING (report_id))
+  SELECT 'max' AS which, * FROM (SELECT * FROM here WHERE value > 0 ORDER BY value DESC, report_id LIMIT 1)
+  UNION ALL SELECT 'min', * FROM (SELECT * FROM here WHERE value <> 0 ORDER BY value, report_id LIMIT 1)""")
 def extremes(spark, sf):
     return stats.storage_extremes(archive(spark, sf), SITES)
 
