@@ -76,6 +76,23 @@ def matches_kind(value: Column, kind: str) -> Column:
     return value.cast("string").rlike(KIND_PATTERNS[kind])
 
 
+def _one_decimal(value: Column) -> Column:
+    """One decimal with exact ties to even, as C's printf rounds.
+
+    Scaling by 2**52 is exact, so the tenths come from whole-number arithmetic
+    on the binary value itself.
+    """
+    small = F.when(F.abs(value) < 1024, F.abs(value)).otherwise(0.0)
+    scaled = (small * F.lit(2.0 ** 52)).cast("bigint").cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
+    unit, half = F.lit(2 ** 52).cast("decimal(17,0)"), F.lit(2 ** 51).cast("decimal(17,0)")
+    rest = scaled % unit
+    floor = ((scaled - rest) / unit).cast("bigint")
+    tenths = floor + F.when((rest > half) | ((rest == half) & (floor % 2 == 1)), 1).otherwise(0)
+    text = F.format_string("%d.%d", F.floor(tenths / 10), tenths % 10)
+    exact = F.concat(F.when(value < 0, "-").otherwise(""), text)
+    return F.when(F.abs(value) < 1024, exact).otherwise(F.format_string("%.1f", value))
+
+
 def human_size(value: Column, base: int = 10) -> Column:
     """Bytes with a unit and one decimal; N/A when not a number, null beyond the last unit."""
     step = 1000.0 if base == 10 else 1024.0
@@ -83,7 +100,7 @@ def human_size(value: Column, base: int = 10) -> Column:
     shown = F.when(number.isNull(), F.lit("N/A"))
     for power, unit in enumerate(SIZE_UNITS[base]):
         shown = shown.when(number < step ** (power + 1),
-                           F.format_string("%3.1f" + unit, number / F.lit(step ** power)))
+                           F.concat(_one_decimal(number / F.lit(step ** power)), F.lit(unit)))
     return shown
 
 

@@ -72,7 +72,8 @@ def emit_reduce(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFrame],
     ``merge`` takes emitted rows and returns one row per key in the same schema;
     it is applied to its own results, as a combiner is.  It first runs inside
     every map task, so one key leaves a task as one row and a key that holds
-    most rows reaches its reducer as one row per task.
+    most rows reaches its reducer as about one row per task.  The reducer reads
+    rows sorted by key and holds back only the last key of a batch.
     """
     def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting = None
@@ -85,5 +86,15 @@ def emit_reduce(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFrame],
         if waiting is not None:
             yield waiting
 
-    partial = df.mapInPandas(combine, schema)
-    return partial.groupBy(key).applyInPandas(lambda group: merge(group), schema)
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            merged = merge(frame if held is None else pd.concat([held, frame], ignore_index=True))
+            last = merged[key] == frame[key].iloc[-1] if len(frame) else merged[key].isna()
+            yield merged[~last]
+            held = merged[last]
+        if held is not None:
+            yield held
+
+    partial = df.mapInPandas(combine, schema).where(F.col(key).isNotNull())
+    return partial.repartition(F.col(key)).sortWithinPartitions(key).mapInPandas(finish, schema)

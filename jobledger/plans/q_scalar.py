@@ -76,7 +76,6 @@ def patterns(spark, sf):
       WHEN v < 1073741824 THEN printf('%3.1fMiB', v / 1048576) ELSE printf('%3.1fGiB', v / 1073741824) END AS binary_size
   FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * 64 AS DOUBLE) AS v FROM orders)""", plain=True)
 def human_size(spark, sf):
-    # Multiples of 64 bytes in base 2 and of 1/8 otherwise: no value lies on a rounding border.
     rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * 64).alias("v"))
     return rows.select("o_orderkey", scalar.human_size(F.col("v")).alias("decimal_size"),
                        scalar.human_size(F.col("v"), 2).alias("binary_size"))
@@ -149,8 +148,8 @@ def extension_mixed(spark, sf):
 @query("f14_format_metric", """
   SELECT o_orderkey, concat(v // 3600, ':', lpad(CAST((v // 60) % 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(v % 60 AS VARCHAR), 2, '0'),
       ' (', v, '.0s)') AS seconds, concat(v % 100, '%') AS share,
-    CASE WHEN v < 1000 THEN concat(v, ' MB') ELSE concat(rtrim(rtrim(printf('%.2f', v / 1000.0), '0'), '.'), ' GB') END AS size,
-    CASE WHEN v < 1000 THEN concat(v, '') ELSE concat(rtrim(rtrim(printf('%.2f', v / 1000.0), '0'), '.'), 'k') END AS plain
+    CASE WHEN v < 1000 THEN concat(v, ' MB') ELSE concat(rtrim(rtrim(printf('%.2f', ((v + 5) // 10) / 100.0), '0'), '.'), ' GB') END AS size,
+    CASE WHEN v < 1000 THEN concat(v, '') ELSE concat(rtrim(rtrim(printf('%.2f', ((v + 5) // 10) / 100.0), '0'), '.'), 'k') END AS plain
   FROM (SELECT o_orderkey, o_orderkey % 2000 * 5 + 10 AS v FROM orders WHERE (o_orderkey % 2000 * 5 + 10) > 0)""", plain=True)
 def formats(spark, sf):
     v = F.col("v")

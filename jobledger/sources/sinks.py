@@ -62,20 +62,17 @@ def upsert_rollup(df: DataFrame, path: str) -> None:
     append_new(df, path, key="hash")
 
 
-def replace_days(df: DataFrame, path: str) -> None:
-    """Replace exactly the days that occur in ``df``; other days stay."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*PARTITION_COLUMNS).parquet(path))
-
+def replace_partitions(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Replace exactly the partitions (days by default) that occur in ``df``; others stay."""
+    by = by or PARTITION_COLUMNS
+    (df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
-def write_validated(df: DataFrame, good: str, bad: str) -> None:
-    """Rows without errors to one table; the rest, with their errors, to another.
 
-    One write, partitioned by outcome, would halve the work but fix both paths;
-    two filtered writes read a checkpointed input once each.
-    """
-    write(df.where(F.size("errors") == 0).drop("errors"), good)
-    write(df.where(F.size("errors") > 0), bad)
+def write_validated(df: DataFrame, root: str) -> None:
+    """Rows without errors to ``outcome=good``, the rest with their errors to ``outcome=bad``, in one pass."""
+    outcome = F.when(F.size("errors") == 0, "good").otherwise("bad")
+    df.withColumn("outcome", outcome).write.mode("append").partitionBy("outcome").parquet(root)
 
 
 def write_daily(df: DataFrame, root: str, skip_existing: bool = False,
