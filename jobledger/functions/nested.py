@@ -34,19 +34,24 @@ def outputs() -> Column:
     return flat(F.col("steps.output"))
 
 
-def cmsrun_outputs() -> Column:
-    """Outputs of the steps whose name begins with cmsRun, in any case."""
+def output_values(field: str) -> Column:
+    """One attribute of all outputs; only that attribute is copied, not the output records."""
+    return flat(F.transform(F.col("steps.output"), lambda o: o[field]))
+
+
+def cmsrun_output_values(field: str) -> Column:
+    """One attribute of the outputs of steps whose name begins with cmsRun, in any case."""
     zipped = steps_of("name", "output")
-    return flat(F.transform(F.filter(zipped, lambda s: is_cmsrun(s["name"])), lambda s: s["output"]))
+    return flat(F.transform(zipped, lambda s: F.when(is_cmsrun(s["name"]), s["output"][field])))
 
 
 def first_era() -> Column:
-    return first_of(outputs().getField("acquisitionEra"))
+    return first_of(output_values("acquisitionEra"))
 
 
 def total_events() -> Column:
     """Events over all outputs, null when there are none."""
-    total = F.aggregate(outputs().getField("events"), F.lit(0).cast("bigint"),
+    total = F.aggregate(output_values("events"), F.lit(0).cast("bigint"),
                         lambda acc, x: acc + F.coalesce(x, F.lit(0).cast("bigint")))
     return F.nullif(total, F.lit(0).cast("bigint"))
 
@@ -68,7 +73,10 @@ def exit_info(policy: str = "first_valid") -> Column:
     if policy != "first_valid":
         raise ValueError(f"no such exit policy: {policy}")
     valid = F.get(F.filter(errors, lambda e: valid_exit_code(e["exitCode"])), F.lit(0))
-    return F.coalesce(valid, F.get(errors, F.size(errors) - 1))
+    last = F.get(errors, F.size(errors) - 1)
+    # Most jobs have no errors: look at the array sizes before building anything.
+    some = F.exists(F.col("steps.errors"), lambda e: F.size(e) > 0)
+    return F.when(some, F.coalesce(valid, last))
 
 
 def split_task(task: Column) -> dict[str, Column]:
@@ -92,18 +100,19 @@ def _files(index_arrays: Column) -> Column:
 
 def output_files() -> Column:
     """All distinct files a report says it wrote."""
-    return _files(outputs().getField("outputLFNs"))
+    return _files(output_values("outputLFNs"))
 
 
 def step_output_files(prefix: str) -> Column:
     """Distinct files written by steps with a name prefix, in any case."""
-    chosen = F.filter(steps_of("name", "output"), lambda s: F.lower(s["name"]).startswith(prefix.lower()))
-    return _files(flat(F.transform(chosen, lambda s: s["output"])).getField("outputLFNs"))
+    wanted = F.transform(steps_of("name", "output"), lambda s: F.when(
+        F.lower(s["name"]).startswith(prefix.lower()), s["output"]["outputLFNs"]))
+    return _files(flat(wanted))
 
 
 def merged_input_files() -> Column:
     """Distinct files that cmsRun steps merged into their outputs."""
-    return _files(cmsrun_outputs().getField("inputLFNs"))
+    return _files(cmsrun_output_values("inputLFNs"))
 
 
 def is_merge() -> Column:
@@ -116,7 +125,7 @@ def extract_files(prefix: str) -> Column:
 
 
 def run_numbers() -> Column:
-    return flat(outputs().getField("runs")).getField("runNumber")
+    return flat(output_values("runs")).getField("runNumber")
 
 
 def job_metric_group(group: str) -> Column:

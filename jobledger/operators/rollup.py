@@ -37,10 +37,10 @@ def job_facts(df: DataFrame, exit_policy: str = "first_valid", perf_policy: str
         *[values[m].alias(metric_column(m)) for m in metrics])
 
 
-def _with_bucket(df: DataFrame, when: str, precision: str) -> DataFrame:
-    start = df.withColumn("start_date", bucket_start(F.col(when), precision))
-    return start.withColumns({"end_date": bucket_end(F.col("start_date"), precision),
-                              "precision": F.lit(precision)})
+def _closed(df: DataFrame, precision: str) -> DataFrame:
+    """Add end and precision of the buckets, in the order of roll-up columns."""
+    whole = df.withColumns({"end_date": bucket_end(F.col("start_date"), precision), "precision": F.lit(precision)})
+    return whole.select(*ROLLUP_KEYS, *measure_columns(df))
 
 
 def _sum_and_n(name: str) -> list[Column]:
@@ -51,17 +51,22 @@ def _sum_and_n(name: str) -> list[Column]:
 
 def rollup(df: DataFrame, precision: str = "day", exit_policy: str = "first_valid",
            perf_policy: str = "first", metrics: list[str] | None = None) -> DataFrame:
-    """Reports to roll-up rows, by one hash aggregation with map-side partial sums."""
+    """Reports to roll-up rows, by one hash aggregation with map-side partial sums.
+
+    The end of a bucket and the precision follow from its start, so they are
+    added to the result instead of widening the grouping key.
+    """
     metrics = TREE_METRICS if metrics is None else metrics
-    facts = _with_bucket(job_facts(df, exit_policy, perf_policy, metrics), "ts", precision)
-    return rollup_facts(facts, metrics)
+    facts = job_facts(df, exit_policy, perf_policy, metrics).withColumn("start_date", bucket_start(F.col("ts"), precision))
+    sums = facts.groupBy("start_date", *SCOPE_KEYS).agg(*rollup_measures(metrics))
+    return _closed(sums, precision)
 
 
-def rollup_facts(facts: DataFrame, metrics: list[str]) -> DataFrame:
+def rollup_measures(metrics: list[str]) -> list[Column]:
     measures = [F.count("*").alias("count"), *_sum_and_n("events")]
     for metric in metrics:
         measures += _sum_and_n(metric_column(metric))
-    return facts.groupBy(*ROLLUP_KEYS).agg(*measures)
+    return measures
 
 
 def with_hash(df: DataFrame) -> DataFrame:
@@ -89,7 +94,9 @@ def coarsen(df: DataFrame, source: str, target: str) -> DataFrame:
     """
     if target not in COARSER[source]:
         raise ValueError(f"{source} rows cannot be made into {target} rows")
-    return _resum(_with_bucket(df.drop("end_date", "precision"), "start_date", target))
+    wider = df.withColumn("start_date", bucket_start(F.col("start_date"), target))
+    sums = wider.groupBy("start_date", *SCOPE_KEYS).agg(*[F.sum(c).alias(c) for c in measure_columns(df)])
+    return _closed(sums, target)
 
 
 def aggregate_range(df: DataFrame, precision: str = "day", **options) -> DataFrame:

@@ -9,7 +9,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from jobledger.functions.nested import cmsrun_outputs, flat, run_numbers, steps_of
+from jobledger.functions.nested import cmsrun_output_values, flat, run_numbers, steps_of
 from jobledger.functions.scalar import is_cmsrun
 from jobledger.schema import ALIASES, DOCUMENT_NAMES
 from jobledger.sources.reports import prune
@@ -60,6 +60,10 @@ def _resolve(path: str) -> str:
     return f"{head}.{rest}" if rest else head
 
 
+def _attribute(name: str) -> Test:
+    return lambda records: records[name]
+
+
 def values_at(schema: T.StructType, path: str) -> tuple[Column, T.DataType] | None:
     """Column and type at a dotted path; every array crossed leaves an array.
 
@@ -75,6 +79,10 @@ def values_at(schema: T.StructType, path: str) -> tuple[Column, T.DataType] | No
         depth = 0
         while isinstance(here, T.ArrayType):
             here, depth = here.elementType, depth + 1
+        if depth == 2 and isinstance(here, T.StructType) and part in here.fieldNames():
+            # Take the attribute inside each inner array, so whole records are never copied.
+            column, here = flat(F.transform(column, _attribute(part))), T.ArrayType(here[part].dataType)
+            continue
         for _ in range(depth - 1):
             column = flat(column)
         if isinstance(here, T.MapType):
@@ -128,7 +136,7 @@ def _output_attribute(schema: T.StructType, key: str) -> tuple[Column, T.DataTyp
     output = schema["steps"].dataType.elementType["output"].dataType.elementType
     for field in output.fields:
         if field.name.lower() == key.lower():
-            column, kind = cmsrun_outputs().getField(field.name), T.ArrayType(field.dataType)
+            column, kind = cmsrun_output_values(field.name), T.ArrayType(field.dataType)
             while isinstance(kind.elementType, T.ArrayType):
                 column, kind = flat(column), kind.elementType
             return column, kind

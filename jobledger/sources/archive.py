@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from jobledger.schema import REPORT_DDL
 from jobledger.session import new_dir, settings
 from jobledger.sources.reports import read_reports
 from jobledger.sources.tables import (
@@ -51,6 +52,14 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_reports(spark, _write(spark, sf_dir, "processing"))
 
 
+def stream_archive(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """Processing reports as a stream of arriving files."""
+    reader = spark.readStream.schema(REPORT_DDL)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(_write(spark, sf_dir, "processing"))
+
+
 def full_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processing, merge and log-collect reports, as one scan of two folders."""
     paths = [_write(spark, sf_dir, "processing"), _write(spark, sf_dir, "service")]

@@ -273,13 +273,6 @@ def all_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(log_collect_reports(orders)))
 
 
-def stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The processing reports as a stream of arriving files."""
-    schema = table(spark, sf_dir, "lineitem").schema
-    lines = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem*.parquet")
-    return processing_reports(lines, table(spark, sf_dir, "nation"))
-
-
 def raw_documents(lines: DataFrame) -> DataFrame:
     """Reports as JSON text, some of them malformed, for validation and ingest.
 

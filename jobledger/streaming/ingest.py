@@ -30,9 +30,10 @@ def ingest_stream(source: DataFrame, target: str, checkpoint: str, delay: str =
 
     Repeats within the delay are dropped by stream state, which the watermark
     bounds; later repeats, and batches replayed after a failure, by the anti
-    join with the target.
+    join with the target.  The watermark follows the time of processing, so a
+    report is never too late to be stored.
     """
-    timed = source.withColumn("_arrived", F.timestamp_seconds("ingest_ts")).withWatermark("_arrived", delay)
+    timed = source.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
     once = timed.dropDuplicatesWithinWatermark(["report_id"]).drop("_arrived")
 
     def store(batch: DataFrame, _: int) -> None:
