@@ -144,11 +144,18 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def compare(source: DataFrame, copy: DataFrame, ignore: list[str] | None = None) -> DataFrame:
-    """Rows that only one side has, with the side's name; envelope columns can be ignored."""
+    """Rows one side has more often, with the side's name and how many more (``n``).
+
+    Envelope columns can be ignored.  One aggregation of the difference in
+    number: equal rows are counted before the shuffle and never written out as
+    often as they occur.
+    """
     names = [c for c in source.columns if c not in (ignore or [])]
-    left, right = source.select(*names), copy.select(*names)
-    return (left.exceptAll(right).withColumn("side", F.lit("source"))
-            .unionByName(right.exceptAll(left).withColumn("side", F.lit("copy"))))
+    both = (source.select(*names, F.lit(1).alias("_sign"))
+            .unionByName(copy.select(*names, F.lit(-1).alias("_sign"))))
+    surplus = both.groupBy(*names).agg(F.sum("_sign").alias("_surplus")).where("_surplus <> 0")
+    return surplus.select(*names, F.when(F.col("_surplus") > 0, "source").otherwise("copy").alias("side"),
+                          F.abs("_surplus").alias("n"))
 
 
 def same_rows(first: DataFrame, second: DataFrame) -> DataFrame:

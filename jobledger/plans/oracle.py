@@ -48,11 +48,11 @@ WITH base AS (
   SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, l_partkey AS pk, l_suppkey AS sk,
     CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
     CAST(round(l_discount * 100) AS BIGINT) AS disc, CAST(round(l_tax * 100) AS BIGINT) AS tax,
-    l_returnflag = 'R' AS failed, l_linestatus AS ls, CAST(l_shipdate AS DATE) AS ship_day
+    l_returnflag = 'R' AS failed, l_returnflag AS rf, l_linestatus AS ls, CAST(l_shipdate AS DATE) AS ship_day
   FROM lineitem),
 reports AS (
   SELECT b.*,
-    md5(concat_ws('|', ok, ln, pk, sk, q, cents, date_diff('day', DATE '1970-01-01', ship_day))) AS report_id,
+    md5(concat_ws('|', ok, ln, pk, sk, q, cents, disc, tax, rf, ls, date_diff('day', DATE '1970-01-01', ship_day))) AS report_id,
     date_diff('day', DATE '1970-01-01', ship_day) * 86400 + (pk * 37) % 86400 AS ts,
     CASE WHEN pk % 33 <> 0 THEN concat('T', n_regionkey % 3 + 1, '_', n_name) END AS site0,
     CASE WHEN pk % 20 = 0 THEN concat('task', pk % 40)

@@ -70,7 +70,7 @@ def rollup_month(spark, sf):
       CASE WHEN pk % 50 = 7 THEN NULL WHEN q > 40 THEN coalesce(cpu_TotalJobTime, 0) + 100
            ELSE cpu_TotalJobTime END AS cpu_TotalJobTime,
       CASE WHEN q > 40 THEN storage_readTotalMB + 1 ELSE storage_readTotalMB END AS storage_readTotalMB
-    FROM facts f JOIN (SELECT report_id, q FROM base b JOIN reports USING (ok, ln, pk, sk, q, cents, ship_day)) USING (report_id)
+    FROM facts f JOIN (SELECT report_id, q FROM reports) USING (report_id)
       LEFT JOIN firsts x USING (report_id))
   SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start_date,
     strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS end_date, 'day' AS precision,

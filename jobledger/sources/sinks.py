@@ -50,10 +50,26 @@ def new_rows(df: DataFrame, target: DataFrame | None, key: str) -> DataFrame:
     return fresh if target is None else fresh.join(target.select(key), key, "left_anti")
 
 
+def _same_partitions(df: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:
+    """The target's partitions between the first and last one that occurs in ``df``."""
+    low, high = df.agg(F.min(F.struct(*by)), F.max(F.struct(*by))).first()
+    if low is None:
+        return target
+    bounds = [F.struct(*[F.lit(row[c]).alias(c) for c in by]) for row in (low, high)]
+    return target.where(F.struct(*by).between(*bounds))
+
+
 def append_new(df: DataFrame, path: str, key: str = "report_id",
                partition_by: list[str] | None = None) -> None:
-    """Append documents whose id is not stored yet."""
+    """Append documents whose id is not stored yet.
+
+    In a partitioned table the id of a document decides its content, hence its
+    partition: ids are looked up in the partitions of the batch only, so an
+    append costs what the batch costs, however large the table is.
+    """
     target = read_or_none(df.sparkSession, path)
+    if target is not None and partition_by:
+        target = _same_partitions(df, target, partition_by)
     write(new_rows(df, target, key), path, partition_by=partition_by)
 
 

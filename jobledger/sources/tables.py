@@ -159,7 +159,7 @@ def processing_reports(lines: DataFrame, nation: DataFrame) -> DataFrame:
         "cast(round(l_extendedprice * 100) as bigint) cents",
         "cast(round(l_discount * 100) as bigint) disc",
         "cast(round(l_tax * 100) as bigint) tax",
-        "l_returnflag = 'R' failed", "l_linestatus ls", "to_date(l_shipdate) ship_day",
+        "l_returnflag = 'R' failed", "l_returnflag rf", "l_linestatus ls", "to_date(l_shipdate) ship_day",
     )
     sites = nation.selectExpr(
         "cast(n_nationkey as bigint) site_no",
@@ -173,7 +173,7 @@ def processing_reports(lines: DataFrame, nation: DataFrame) -> DataFrame:
         "concat(ok, '-', ln) job_id",
     )
     documents = named.selectExpr(
-        "md5(concat_ws('|', ok, ln, pk, sk, q, cents, unix_date(ship_day))) report_id",
+        "md5(concat_ws('|', ok, ln, pk, sk, q, cents, disc, tax, rf, ls, unix_date(ship_day))) report_id",
         "cast(ts + 3600 as double) ingest_ts",
         "'hot' stage",
         "'fwjr' kind",
@@ -282,8 +282,10 @@ def raw_documents(lines: DataFrame) -> DataFrame:
     return lines.selectExpr(
         "l_orderkey ok", "l_linenumber ln", "l_partkey pk", "l_suppkey sk",
         "cast(l_quantity as bigint) q", "cast(round(l_extendedprice * 100) as bigint) cents",
+        "cast(round(l_discount * 100) as bigint) disc", "cast(round(l_tax * 100) as bigint) tax",
+        "l_returnflag rf", "l_linestatus ls", "to_date(l_shipdate) ship_day",
     ).selectExpr(
-        "concat_ws('-', ok, ln, pk, sk, q, cents) doc_key",
+        "concat_ws('-', ok, ln, pk, sk, q, cents, disc, tax, rf, ls, unix_date(ship_day)) doc_key",
         """concat(
           '{"task": "/wf_', ok % 500, '/T', pk % 4, '", "wall": ', if(pk % 12 = 0, concat(cents % 1000, '.5'), string(q)),
           ', "ok": ', if(sk % 2 = 0, 'true', 'false'),

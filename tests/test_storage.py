@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, report, step
-from jobledger.operators import jobs, lifecycle, quality
+from jobledger.operators import jobs, lifecycle, quality, stats
 from jobledger.operators.rollup import rollup
 from jobledger.plans.q_quality import DOCUMENT_SCHEMA
 from jobledger.session import shared_dir
@@ -46,6 +46,21 @@ def test_append_is_idempotent(make, tmp_path, spark):
     assert sorted(r.report_id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "b"]
 
 
+def test_append_to_partitions_looks_up_their_ids(make, tmp_path, spark):
+    path, by = str(tmp_path / "p"), ["year", "month", "day"]
+    old, new = report("a", ts="2017-01-01 00:00:00"), report("b", ts="2017-05-01 00:00:00")
+    for batch in ([old], [old, new], [new], []):
+        sinks.append_new(make(*batch) if batch else make(new).limit(0), path, partition_by=by)
+    assert sorted(r.report_id for r in spark.read.parquet(path).collect()) == ["a", "b"]
+
+
+def test_compare_counts_copies(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    b = spark.createDataFrame([(1,), (3,)], "x int")
+    assert sorted((r.x, r.side, r.n) for r in stats.compare(a, b).collect()) == [(1, "source", 1), (2, "source", 1), (3, "copy", 1)]
+    assert stats.same_rows(a, a.repartition(2)).first().same and not stats.same_rows(a, b).first().same
+
+
 def test_missing_target_only(spark, tmp_path):
     assert sinks.read_or_none(spark, str(tmp_path / "nothing")) is None
 
