@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -76,6 +77,19 @@ def matches_kind(value: Column, kind: str) -> Column:
     return value.cast("string").rlike(KIND_PATTERNS[kind])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it several times, as a lambda variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _rounded_tenths(scaled: Column) -> Column:
+    """Tenths of a number given as ten times its 2**52-fold, ties to even."""
+    unit, half = F.lit(2 ** 52).cast("decimal(17,0)"), F.lit(2 ** 51).cast("decimal(17,0)")
+    rest = scaled % unit
+    floor = ((scaled - rest) / unit).cast("bigint")
+    return floor + F.when((rest > half) | ((rest == half) & (floor % 2 == 1)), 1).otherwise(0)
+
+
 def _one_decimal(value: Column) -> Column:
     """One decimal with exact ties to even, as C's printf rounds.
 
@@ -84,24 +98,24 @@ def _one_decimal(value: Column) -> Column:
     """
     small = F.when(F.abs(value) < 1024, F.abs(value)).otherwise(0.0)
     scaled = (small * F.lit(2.0 ** 52)).cast("bigint").cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
-    unit, half = F.lit(2 ** 52).cast("decimal(17,0)"), F.lit(2 ** 51).cast("decimal(17,0)")
-    rest = scaled % unit
-    floor = ((scaled - rest) / unit).cast("bigint")
-    tenths = floor + F.when((rest > half) | ((rest == half) & (floor % 2 == 1)), 1).otherwise(0)
-    text = F.format_string("%d.%d", F.floor(tenths / 10), tenths % 10)
+    text = let(let(scaled, _rounded_tenths), lambda t: F.format_string("%d.%d", F.floor(t / 10), t % 10))
     exact = F.concat(F.when(value < 0, "-").otherwise(""), text)
     return F.when(F.abs(value) < 1024, exact).otherwise(F.format_string("%.1f", value))
 
 
+def _human_size(number: Column, base: int) -> Column:
+    step = 1000.0 if base == 10 else 1024.0
+    scaled = unit = None
+    for power, name in enumerate(SIZE_UNITS[base]):
+        fits = number < step ** (power + 1)
+        scaled = F.when(fits, number / F.lit(step ** power)) if power == 0 else scaled.when(fits, number / F.lit(step ** power))
+        unit = F.when(fits, name) if power == 0 else unit.when(fits, name)
+    return F.when(number.isNull(), "N/A").otherwise(F.concat(let(scaled, _one_decimal), unit))
+
+
 def human_size(value: Column, base: int = 10) -> Column:
     """Bytes with a unit and one decimal; N/A when not a number, null beyond the last unit."""
-    step = 1000.0 if base == 10 else 1024.0
-    number = value.try_cast("double")
-    shown = F.when(number.isNull(), F.lit("N/A"))
-    for power, unit in enumerate(SIZE_UNITS[base]):
-        shown = shown.when(number < step ** (power + 1),
-                           F.concat(_one_decimal(number / F.lit(step ** power)), F.lit(unit)))
-    return shown
+    return let(value.try_cast("double"), lambda number: _human_size(number, base))
 
 
 def human_duration(seconds: Column) -> Column:

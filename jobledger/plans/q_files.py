@@ -189,20 +189,20 @@ def listed(spark, sf):
         .withColumn("replaced", rows.agg(F.count("*").cast("int")).scalar())
 
 
-TOPICS = ["wm.T1_", "wm.T2_", "wm.T3_", "wm.exitCode", "wm.all"]
+TOPICS = ["jobs.T1_", "jobs.T2_", "jobs.T3_", "jobs.exitCode", "jobs.all"]
 ROUTED = """
   , flat AS (SELECT s.site, CAST(coalesce(e.code, '0') AS INTEGER) AS code FROM steps s
     LEFT JOIN (SELECT report_id, name, code FROM errors WHERE code IS NOT NULL) e USING (report_id, name) WHERE s.site IS NOT NULL)
   SELECT topic, count(*) AS n FROM (
-    SELECT 'wm.T1_' AS topic FROM flat WHERE contains(site, 'T1_') UNION ALL SELECT 'wm.T2_' FROM flat WHERE contains(site, 'T2_')
-    UNION ALL SELECT 'wm.T3_' FROM flat WHERE contains(site, 'T3_') UNION ALL SELECT 'wm.exitCode' FROM flat WHERE code > 0
-    UNION ALL SELECT 'wm.all' FROM flat) GROUP BY ALL"""
+    SELECT 'jobs.T1_' AS topic FROM flat WHERE contains(site, 'T1_') UNION ALL SELECT 'jobs.T2_' FROM flat WHERE contains(site, 'T2_')
+    UNION ALL SELECT 'jobs.T3_' FROM flat WHERE contains(site, 'T3_') UNION ALL SELECT 'jobs.exitCode' FROM flat WHERE code > 0
+    UNION ALL SELECT 'jobs.all' FROM flat) GROUP BY ALL"""
 
 
 @query("k12_route", ROUTED)
 def route(spark, sf):
     path = new_dir(spark, "topics")
-    sinks.write_topics(sinks.route(flatten_errors(archive(spark, sf)), TOPICS, "wm.all"), path)
+    sinks.write_topics(sinks.route(flatten_errors(archive(spark, sf)), TOPICS, "jobs.all"), path)
     return spark.read.schema("value string, topic string").json(path).groupBy("topic").agg(F.count("*").alias("n"))
 
 
