@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobledger.llm import exact, mixing, packing, quality, sharding, simhash, tokens, urlrules
+from jobledger.llm import exact, mixing, packing, pii, quality, sharding, simhash, tokens, toxicity, urlrules
 from jobledger.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,33 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pii.find_spans(docs, pii.train(docs))
+    spans = {k: F.col(f"pii.{k}") for k in pii.KINDS}
+    base = F.array_join(F.concat(*[pii.listed(spans[k], k) for k in pii.KINDS]), ",")
+
+    def every(i: int, kind: str) -> Column:
+        added = F.filter("pii.added", lambda x: x["kind"] == i)
+        bare = lambda xs: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+        return pii.listed(F.array_sort(F.concat(bare(spans[kind]), bare(added))), kind)
+
+    return rows.select(
+        "doc_id", *[F.size(spans[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS], F.sha2(base, 256).alias("base_sha256"),
+        F.array_join(F.concat(*[every(i, k) for i, k in enumerate(pii.KINDS)]), ",").alias("spans"))
+
+
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard, and the one it would have if the first shard were lost."""
     names = sharding.shard_names()
@@ -63,7 +86,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing, op2_simhash, op4_exact, op6_sharding, op7_quality, op8_packing, op9_tokens, op10_urls)}
+    op1_mixing, op2_simhash, op3_pii, op4_exact, op5_toxicity, op6_sharding, op7_quality, op8_packing, op9_tokens, op10_urls)}
 
 CHECKS: dict[str, str] = {
     "op4_exact": r"""
