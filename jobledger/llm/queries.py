@@ -22,7 +22,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4)
+    return simhash.near_duplicates(
+        read(spark, sf_dir, "documents"), shingle=4, distance=simhash.DISTANCE, bits=simhash.SEGMENTS, words=1)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

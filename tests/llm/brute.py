@@ -1,0 +1,127 @@
+"""Plain versions of the operators, for small inputs."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import xxhash
+
+WHITE = re.compile(r"[\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def exact(rows):
+    """doc_id, text -> doc_id: (keep_id, group_size)."""
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[WHITE.sub(" ", t or "")].append(i)
+    return {i: (min(g), len(g)) for g in groups.values() for i in g}
+
+
+def fingerprint(text, k):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = WORD.findall(lower)
+    if not w:
+        return 0
+    shingles = [" ".join(w[i:i + k]) for i in range(len(w) - k + 1)] or [" ".join(w)]
+    ones = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+
+
+def components(prints, distance):
+    """doc_id: fingerprint -> doc_id: smallest doc_id reachable."""
+    ids = sorted(prints)
+    p = np.array([prints[i] for i in ids], dtype=np.uint64)
+    seen, out = set(), {}
+    for k, i in enumerate(ids):
+        if k in seen:
+            continue
+        seen.add(k)
+        todo = [k]
+        while todo:
+            j = todo.pop()
+            out[ids[j]] = i
+            for m in np.flatnonzero(np.bitwise_count(p ^ p[j]) <= distance).tolist():
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+    return out
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def spans(text):
+    out = []
+    for kind, pattern in PII.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255:
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def quality(text):
+    text = text or ""
+    w = WORD.findall(text)
+    windows = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    marked = {i + k for i in range(len(w) - 2) if windows[tuple(w[i:i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n = len(w)
+    return (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(marked),
+            n < 50 or 100 * len(marked) > 50 * n)
+
+
+def pieces(tokenizer, text, capacity=4096):
+    ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    for k, low in enumerate(range(0, len(ids), capacity)):
+        own = ids[low:low + capacity]
+        yield k, low, len(own), zlib.crc32(np.array(own, dtype="<u4").tobytes())
+
+
+def url(text, lists):
+    rest = text.split("://", 1)[1] if text and "://" in text else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = []
+    for rule in lists:
+        name, slash, tail = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith(slash + tail):
+            fits.append(rule)
+    return host, path, max(fits, key=len, default=None)
+
+
+def schedule(quotas, period):
+    """Earliest deadline first over one period, slot by slot: the source of each slot."""
+    done = dict.fromkeys(quotas, 0)
+    out = []
+    for t in range(period):
+        free = [(-(-(done[s] + 1) * period // q), s) for s, q in quotas.items() if done[s] * period // q <= t]
+        s = min(free)[1]
+        done[s] += 1
+        out.append(s)
+    return out
