@@ -217,6 +217,12 @@ def judge(df: DataFrame, rules: list[Rule], text_col: str = "text", out: str = "
 
 
 def keep_good(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows that pass, with their columns."""
+    """The rows that pass, with their columns.
+
+    Unfolding the verdict rather than filtering by it keeps the optimiser from
+    moving the condition below the statistics, which it would then take once
+    for each mention.
+    """
     out = free(df, "__quality")
-    return judge(df, rules, text_col, out).where(F.col(f"{out}.kept")).drop(out)
+    passed = F.filter(F.array(F.col(out)), lambda q: q["kept"])
+    return judge(df, rules, text_col, out).withColumn(out, F.explode(passed)).drop(out)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BATCH_BYTES = 1 << 18
 PIECE_CHARS = 1 << 20
-MEMORY = 300_000
+MEMORY = 1_500_000
+MARKS = ".,;:!?"
 
 _LOADED: dict[str, object] = {}
 _KNOWN: dict[tuple[str, str], dict[str, object]] = {}
@@ -77,27 +79,68 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encoded(texts: list[str], path: str, keep: Callable[[list[int]], object]) -> Iterator[list]:
+def _apart(word: str) -> tuple[str, str] | None:
+    """Lower-case ASCII letters and the marks behind them, which are tokens of their own; None for any other word."""
+    core = word.rstrip(MARKS)
+    return (core.lower(), word[len(core):]) if core.isascii() and core.isalpha() else None
+
+
+def _encode_words(words: list[str], path: str, keep: Callable) -> list:
+    """``keep(ids)`` of each word; many words go through the tokenizer as one text with a separator between.
+
+    The separator is one token and in none of the words, so its id tells where they end.
+    """
+    encode, mark = encoder(path), "|"
+    sign = encode([mark])[0]
+    out: dict[str, object] = {}
+    joined = [w for w in words if w and mark not in w] if len(sign) == 1 else []
+    for batch in balanced(joined, 1 << 14):
+        ids = np.asarray(encode([f" {mark} ".join(batch)])[0])
+        cuts = np.flatnonzero(ids == sign[0])
+        if len(cuts) == len(batch) - 1:
+            out.update(zip(batch, map(keep, _between(ids, cuts)), strict=True))
+    rest = [w for w in words if w not in out]
+    for batch in balanced(rest):
+        out.update(zip(batch, map(keep, encode(batch)), strict=True))
+    return [out[w] for w in words]
+
+
+def _between(ids: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
+    start = 0
+    for cut in [*cuts.tolist(), len(ids)]:
+        yield ids[start:cut]
+        start = cut + 1
+
+
+def _learn(fresh: set[str], known: dict[str, object], path: str, keep: Callable) -> None:
+    """Add words to the memory; one that differs by case or marks behind it from another is put together from that."""
+    parts = {w: a for w in fresh if (a := _apart(w)) and a != (w, "")}
+    wanted = (fresh - parts.keys()) | {x for a in parts.values() for x in a if x not in known}
+    todo = list(wanted)
+    known.update(zip(todo, _encode_words(todo, path, keep), strict=True))
+    known.update((w, known[core] + known[marks]) for w, (core, marks) in parts.items())
+
+
+def encoded(texts: list[str], path: str, keep: Callable) -> Iterator[list]:
     """For each text a list of ``keep(ids)``, in order, over its words or else for the text as a whole.
 
-    Where words can be encoded apart, each distinct word of a worker is encoded once
-    and remembered (``MEMORY`` words at most; then the memory starts afresh, which
-    changes the time but no result).
+    Texts are taken in batches of balanced bytes.  Where words can be encoded
+    apart, each distinct word of a worker is encoded once and remembered
+    (``MEMORY`` words at most, some 250 MB; then the memory starts afresh, which
+    changes the time but no result).  ``keep`` gives something that adds up.
     """
-    encode = encoder(path)
     if not word_wise(path):
         for batch in balanced(texts):
-            yield from ([keep(ids)] for ids in encode(batch))
+            yield from ([keep(ids)] for ids in encoder(path)(batch))
         return
     known = _KNOWN.setdefault((path, keep.__name__), {})
     for batch in balanced(texts):
         split = [[w for piece in pieces(t) for line in piece.split("\n") for w in line.split(" ")] for t in batch]
-        fresh = list({w for found in split for w in found if w not in known})
+        fresh = {w for found in split for w in found if w not in known}
         if len(known) + len(fresh) > MEMORY and known:
             known.clear()
-            fresh = list({w for found in split for w in found})
-        for part in balanced(fresh):
-            known.update(zip(part, map(keep, encode(part)), strict=True))
+            fresh = {w for found in split for w in found}
+        _learn(fresh, known, path, keep)
         for found in split:
             yield [known[w] for w in found]
 
