@@ -40,7 +40,15 @@ def timeframe_test(start: dt.date | None = None, end: dt.date | None = None) ->
 
 
 def timeframe(df: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
-    """Buckets from the start of one day up to the end of another, inclusive."""
+    """Buckets from the start of one day up to the end of another, inclusive.
+
+    A stored roll-up has its month as partition columns; the frame prunes them.
+    """
+    if {"year", "month"} <= set(df.columns):
+        month = F.col("year") * 12 + F.col("month")
+        for day, test in ((start, month.__ge__), (end, month.__le__)):
+            if day is not None:
+                df = df.where(test(day.year * 12 + day.month))
     return df.where(timeframe_test(start, end))
 
 
@@ -114,12 +122,13 @@ def suggestions(df: DataFrame, keys: list[str] | None = None, filters: dict[str,
     keys = keys or SCOPE_KEYS
     filters = {k: w for k, w in (filters or {}).items() if w is not None}
     tests = {k: F.coalesce(_key_test(k, w), F.lit(False)) for k, w in filters.items()}
+    # Results are columns of the row below the unfolding, so each filter is evaluated once.
     offers = [
         F.struct(F.lit(key).alias("key"), F.col(key).alias("value"),
-                 _all([t for k, t in tests.items() if k != key]).alias("keep"))
+                 _all([F.get("_tests", F.lit(i)) for i, k in enumerate(tests) if k != key]).alias("keep"))
         for key in keys
     ]
-    values = (df.select(F.explode(F.array(*offers)).alias("o"))
+    values = (df.withColumn("_tests", F.array(*tests.values())).select(F.explode(F.array(*offers)).alias("o"))
                 .where("o.keep").select("o.key", "o.value").distinct())
     if limit is None:
         return values

@@ -9,7 +9,7 @@ from jobledger.functions.nested import (
     dereference, flat, outputs,
 )
 from jobledger.functions.scalar import step_kind
-from jobledger.operators.search import compile_spec, failed
+from jobledger.operators.search import failed, find
 
 
 def deref(df: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def scope_of_job(df: DataFrame, exit_policy: str = "first_valid") -> DataFrame:
 
 
 def failures(df: DataFrame, spec: dict | None = None) -> DataFrame:
-    """One summary row per failed job that fits the spec."""
-    rows = failed(df).where(compile_spec(df.schema, spec or {}))
+    """One summary row per failed job of the spec's time range that fits the spec."""
+    rows = failed(find(df, spec or {}))
     task = split_task(F.col("task"))
     return rows.withColumn("_exit", exit_info()).select(
         "report_id", F.col("meta.jobtype").alias("jobtype"), task["workflow"].alias("workflow"),

@@ -73,7 +73,10 @@ def emit_reduce(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFrame],
     it is applied to its own results, as a combiner is.  It first runs inside
     every map task, so one key leaves a task as one row and a key that holds
     most rows reaches its reducer as about one row per task.  The reducer reads
-    rows sorted by key and holds back only the last key of a batch.
+    rows sorted by key and holds back only the last key of a batch.  Rows with a
+    null key are a group like any other, so ``merge`` must keep them (``groupby``
+    needs ``dropna=False``).  How many keys wait in a task changes no result:
+    what is passed on early is merged again by the reducer.
     """
     def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting = None
@@ -90,11 +93,12 @@ def emit_reduce(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFrame],
         held = None
         for frame in frames:
             merged = merge(frame if held is None else pd.concat([held, frame], ignore_index=True))
-            last = merged[key] == frame[key].iloc[-1] if len(frame) else merged[key].isna()
+            end = frame[key].iloc[-1] if len(frame) else None
+            last = merged[key].isna() if pd.isna(end) else merged[key] == end
             yield merged[~last]
             held = merged[last]
         if held is not None:
             yield held
 
-    partial = df.mapInPandas(combine, schema).where(F.col(key).isNotNull())
+    partial = df.mapInPandas(combine, schema)
     return partial.repartition(F.col(key)).sortWithinPartitions(key).mapInPandas(finish, schema)

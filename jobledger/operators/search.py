@@ -23,31 +23,59 @@ def starts_with_pattern(value: Column, pattern: str) -> Column:
     return value.cast("string").rlike(f"^(?:{pattern})")
 
 
-def _same(value: Column, wanted: object) -> Column:
-    if isinstance(wanted, str):
-        return starts_with_pattern(value, wanted)
-    return value == F.lit(wanted)
+def _fit(value: Column, kind: T.DataType, wanted: object) -> tuple[Column, Column]:
+    """A field and a wanted value as columns of one type.
+
+    A number for a text field reads the text as a number, where it is one; a
+    text for a numeric field reads the number as text.
+    """
+    if isinstance(wanted, (int, float)) and not isinstance(wanted, bool) and isinstance(kind, T.StringType):
+        return value.try_cast("double"), F.lit(float(wanted))
+    if isinstance(wanted, str) and isinstance(kind, NUMERIC):
+        return value.cast("string"), F.lit(wanted)
+    return value, F.lit(wanted)
+
+
+def _equal(value: Column, kind: T.DataType, wanted: object) -> Column:
+    """Equality that never is null; ``None`` wants a missing value."""
+    if wanted is None:
+        return value.isNull()
+    a, b = _fit(value, kind, wanted)
+    return F.coalesce(a == b, F.lit(False))
+
+
+def _same(value: Column, kind: T.DataType, wanted: object) -> Column:
+    return starts_with_pattern(value, wanted) if isinstance(wanted, str) else _equal(value, kind, wanted)
 
 
-def _member(value: Column, wanted: list) -> Column:
-    return value.isin(wanted)
+def _member(value: Column, kind: T.DataType, wanted: list) -> Column:
+    if all(isinstance(w, str) for w in wanted) and isinstance(kind, T.StringType):
+        return value.isin(wanted)
+    return reduce(or_, [_equal(value, kind, w) for w in wanted], F.lit(False))
 
 
-# Comparison operators of a spec, as tests of one scalar value.
-OPERATORS: dict[str, Callable[[Column, object], Column]] = {
-    "$eq": lambda v, w: v == F.lit(w),
-    "$ne": lambda v, w: v != F.lit(w),
-    "$gt": lambda v, w: v > F.lit(w),
-    "$gte": lambda v, w: v >= F.lit(w),
-    "$lt": lambda v, w: v < F.lit(w),
-    "$lte": lambda v, w: v <= F.lit(w),
+def _ordered(compare: Callable[[Column, Column], Column]) -> Callable[[Column, T.DataType, object], Column]:
+    return lambda v, kind, w: compare(*_fit(v, kind, w))
+
+
+# Comparison operators of a spec, as tests of one scalar value of a type.
+OPERATORS: dict[str, Callable[[Column, T.DataType, object], Column]] = {
+    "$eq": _equal,
+    "$gt": _ordered(lambda v, w: v > w),
+    "$gte": _ordered(lambda v, w: v >= w),
+    "$lt": _ordered(lambda v, w: v < w),
+    "$lte": _ordered(lambda v, w: v <= w),
     "$in": _member,
-    "$regex": lambda v, w: v.cast("string").rlike(w),
+    "$regex": lambda v, kind, w: v.cast("string").rlike(w),
 }
 
 
-def _comparison(op: str, wanted: object) -> Test:
-    return lambda value: OPERATORS[op](value, wanted)
+def _element(kind: T.DataType) -> T.DataType:
+    return kind.elementType if isinstance(kind, T.ArrayType) else kind
+
+
+def _comparison(op: str, kind: T.DataType, wanted: object) -> Test:
+    return lambda value: OPERATORS[op](value, kind, wanted)
 
 
 def _resolve(path: str) -> str:
@@ -106,8 +134,14 @@ def _apply(column: Column, kind: T.DataType, test: Test) -> Column:
     return F.exists(column, test) if isinstance(kind, T.ArrayType) else test(column)
 
 
-def _contains_all(column: Column, wanted: list) -> Column:
-    return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), column)) == 0
+def _contains_all(column: Column, kind: T.DataType, wanted: list) -> Column:
+    return reduce(and_, [_holds(column, kind, w) for w in wanted], F.lit(True))
+
+
+def _holds(column: Column, kind: T.DataType, wanted: object) -> Column:
+    """Whether a field, or some element of it, equals a value; a missing list has a missing value."""
+    found = F.coalesce(_apply(column, kind, lambda v: _equal(v, _element(kind), wanted)), F.lit(False))
+    return found | column.isNull() if wanted is None else found
 
 
 def _condition(column: Column, kind: T.DataType, wanted: object, all_of_list: bool) -> Column:
@@ -116,19 +150,23 @@ def _condition(column: Column, kind: T.DataType, wanted: object, all_of_list: bo
         tests = []
         for op, value in wanted.items():
             if op == "$all":
-                tests.append(_contains_all(column, value))
+                tests.append(_contains_all(column, kind, value))
+            elif op == "$eq":
+                tests.append(_holds(column, kind, value))
+            elif op == "$ne":  # no element is equal; a missing value is not, either
+                tests.append(~_holds(column, kind, value))
             elif op in OPERATORS:
-                tests.append(_apply(column, kind, _comparison(op, value)))
+                tests.append(_apply(column, kind, _comparison(op, _element(kind), value)))
             else:
                 raise ValueError(f"unknown operator in spec: {op}")
         return reduce(and_, tests)
     if isinstance(wanted, list):
         if all_of_list:
-            return _contains_all(column, wanted)
-        if all(isinstance(w, str) for w in wanted) and not isinstance(kind, T.ArrayType):
-            return _member(column, wanted)
-        return _apply(column, kind, lambda v: _member(v, wanted))
-    return _apply(column, kind, lambda v: _same(v, wanted))
+            return _contains_all(column, kind, wanted)
+        return _apply(column, kind, lambda v: _member(v, _element(kind), wanted))
+    if wanted is None:
+        return _holds(column, kind, wanted)
+    return _apply(column, kind, lambda v: _same(v, _element(kind), wanted))
 
 
 def _output_attribute(schema: T.StructType, key: str) -> tuple[Column, T.DataType] | None:
@@ -167,13 +205,18 @@ def compile_spec(schema: T.StructType, spec: dict, match: str = "all") -> Column
     An empty spec holds for every row.  A key is an alias, a path of the report,
     or the name of an output attribute.  A text is a regular expression anchored
     at the start, a list is membership (for ``run``: all must occur), a dict
-    holds comparison operators, ``$or`` takes a list of specs.
+    holds comparison operators, ``$or`` takes a list of specs.  ``$ne`` wants that
+    no element is equal, which a missing value fulfils; ``None`` is a missing value.
+    A time range is no condition on a row: :func:`find` prunes by it, and within
+    ``$or`` it is an error.
     """
     tests = []
     for key, wanted in spec.items():
         if key == "timerange":
             continue
         if key == "$or":
+            if not wanted or any("timerange" in s for s in wanted):
+                raise ValueError("$or takes one spec or more, none with a time range")
             tests.append(reduce(or_, [compile_spec(schema, s) for s in wanted]))
         else:
             tests.append(F.coalesce(_key_condition(schema, key, wanted), F.lit(False)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobledger.functions.nested import job_metric
 from jobledger.functions.scalar import is_cmsrun
+from jobledger.operators.cube import timeframe
 from jobledger.operators.search import at_site, succeeded
 from jobledger.schema import METRIC_CATALOGUE, STORAGE_ATTRIBUTES
 
@@ -78,7 +81,8 @@ def tasks_by_job(df: DataFrame) -> DataFrame:
 def day_stats(rollup: DataFrame, date: str, approximate: bool = False) -> DataFrame:
     """One day of a roll-up: rows, distinct workflows, tasks and pairs, events."""
     distinct = (lambda *c: F.approx_count_distinct(F.struct(*c))) if approximate else F.count_distinct
-    rows = rollup.where(F.col("start_date") == F.lit(f"{date} 00:00:00").cast("timestamp_ntz"))
+    day = dt.date.fromisoformat(date)
+    rows = timeframe(rollup, day, day).where(F.col("start_date") == F.lit(f"{date} 00:00:00").cast("timestamp_ntz"))
     return rows.agg(
         F.count("*").alias("records"), distinct("workflow").alias("workflows"), distinct("task").alias("tasks"),
         distinct("workflow", "task").alias("task_names"),

@@ -7,6 +7,8 @@ they test the nested operators independently.
 
 from __future__ import annotations
 
+import re
+
 from jobledger.schema import SCOPE_KEYS, TREE_METRICS, metric_column
 
 # The metrics the documents carry, in terms of the columns of ``reports``.
@@ -130,3 +132,20 @@ roll AS (
     {KEYS}, count(*) AS count, {sums(TREE_METRICS)}
   FROM facts GROUP BY ALL)
 """
+
+_PARTS = re.split(r"(?m)^(?:WITH )?(\w+) AS \($", PRELUDE.strip())[1:]
+RELATIONS = {name: body.strip().rstrip(",").removesuffix(")") for name, body in zip(_PARTS[::2], _PARTS[1::2], strict=True)}
+
+
+def _mentions(text: str) -> set[str]:
+    return {name for name in RELATIONS if re.search(rf"\b{name}\b", text)}
+
+
+def prelude(sql: str) -> str:
+    """The relations a check needs, each computed once."""
+    needed, fresh = set(), _mentions(sql)
+    while fresh:
+        needed |= fresh
+        fresh = set().union(*[_mentions(RELATIONS[name]) for name in fresh]) - needed
+    parts = [f"{name} AS MATERIALIZED ({body})" for name, body in RELATIONS.items() if name in needed]
+    return "WITH " + ",\n".join(parts or ["base AS (SELECT 1)"]) + "\n"

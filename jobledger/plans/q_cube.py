@@ -7,17 +7,16 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from jobledger.operators import cube
-from jobledger.operators.rollup import rollup
 from jobledger.operators.stats import with_metric_info
 from jobledger.plans.registry import query
-from jobledger.sources.archive import archive
+from jobledger.sources.archive import daily_rollup
 
 START, END = dt.date(1997, 2, 1), dt.date(1999, 8, 31)
 IN_FRAME = "start_date >= TIMESTAMP '1997-02-01' AND end_date <= TIMESTAMP '1999-09-01'"
 
 
-def daily(spark, sf, *metrics):
-    return rollup(archive(spark, sf), "day", metrics=list(metrics))
+def daily(spark, sf):
+    return daily_rollup(spark, sf)
 
 
 def _metric_sql(metric: str, label: str, where: str = "true") -> str:
@@ -32,12 +31,12 @@ ISO = "concat(strftime(start_date, '%Y-%m-%dT%H:%M:%S.000Z'), '/', strftime(end_
 
 @query("a08_metric_by_site", _metric_sql("cpu_TotalJobTime", "site"))
 def by_site(spark, sf):
-    return cube.metric_by(daily(spark, sf, "cpu.TotalJobTime"), "cpu.TotalJobTime", "site")
+    return cube.metric_by(daily(spark, sf), "cpu.TotalJobTime", "site")
 
 
 @query("a08_metric_by_time", _metric_sql("storage_readTotalMB", ISO))
 def by_time(spark, sf):
-    return cube.metric_by(daily(spark, sf, "storage.readTotalMB"), "storage.readTotalMB", "time")
+    return cube.metric_by(daily(spark, sf), "storage.readTotalMB", "time")
 
 
 @query("a08_events_by_workflow", _metric_sql("events", "workflow"))
@@ -47,7 +46,7 @@ def events_by_workflow(spark, sf):
 
 @query("p19_sentinels_dropped", _metric_sql("cpu_AvgEventTime", "jobtype"))
 def sentinels(spark, sf):
-    return cube.metric_by(daily(spark, sf, "cpu.AvgEventTime"), "cpu.AvgEventTime", "jobtype")
+    return cube.metric_by(daily(spark, sf), "cpu.AvgEventTime", "jobtype")
 
 
 @query("a09_jobstate_by_site", """
@@ -81,7 +80,7 @@ def exit_codes_time(spark, sf):
 
 @query("a11_summary", _metric_sql("memory_PeakValueRss", "'_summary'"))
 def summary(spark, sf):
-    return cube.metric_by(daily(spark, sf, "memory.PeakValueRss"), "memory.PeakValueRss")
+    return cube.metric_by(daily(spark, sf), "memory.PeakValueRss")
 
 
 _F = "'%Y-%m-%dT%H:%M:%S.000Z'"
@@ -144,7 +143,7 @@ def _bundle_sql() -> str:
 
 @query("a14_performance_bundle", _bundle_sql())
 def bundle(spark, sf):
-    rows = cube.timeframe(daily(spark, sf, "cpu.TotalJobTime", "storage.readAveragekB"), START, END)
+    rows = cube.timeframe(daily(spark, sf), START, END)
     return cube.performance(
         rows, ["cpu.TotalJobTime", "storage.readAveragekB", "data.events", "jobstate", "data.exitcodes"], _AXES)
 
@@ -159,7 +158,7 @@ def bundle(spark, sf):
     USING (metric)""")
 def info(spark, sf):
     metrics = ["cpu.TotalJobTime", "storage.readMBSec"]
-    rows = cube.performance(daily(spark, sf, *metrics), metrics, ["_summary"])
+    rows = cube.performance(daily(spark, sf), metrics, ["_summary"])
     return with_metric_info(rows).select("metric", "title", "unit", "average", "count")
 
 

@@ -122,8 +122,8 @@ def codes(spark, sf):
 @query("u01_union", "SELECT jobtype, host, count(*) AS n FROM reports GROUP BY ALL")
 def union(spark, sf):
     rows = archive(spark, sf)
-    slim = rows.where("meta.jobstate <> 'success'").select("meta", "task")
-    both = stats.union_reports(rows.where("meta.jobstate = 'success'").drop("steps"), slim)
+    slim = rows.where("meta.jobstate <> 'success'").drop("lfns", "campaign")
+    both = stats.union_reports(rows.where("meta.jobstate = 'success'"), slim)
     return both.groupBy("meta.jobtype", "meta.host").agg(F.count("*").alias("n"))
 
 

@@ -55,18 +55,18 @@ def iterate(spark, sf):
 def _emit_cpu(frame: pd.DataFrame) -> pd.DataFrame:
     cpu = frame["cpu"]
     usable = cpu.notna()
-    return pd.DataFrame({"key": frame["task"].where(frame["reported"], "empty"), "total": cpu.fillna(0.0),
+    return pd.DataFrame({"key": frame["task"].where(frame["reported"]), "total": cpu.fillna(0.0),
                          "valid": usable.astype("int64"), "seen": 1})
 
 
 def _merge_cpu(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.groupby("key", as_index=False)[["total", "valid", "seen"]].sum()
+    return rows.groupby("key", as_index=False, dropna=False)[["total", "valid", "seen"]].sum()
 
 
 @query("x03_emit_reduce", """
   , v AS (SELECT path, CASE WHEN pk % 50 = 7 THEN NULL WHEN sk % 19 = 0 THEN 'NaN'::DOUBLE WHEN sk % 23 = 0 THEN -2
             WHEN sk % 29 = 0 THEN NULL ELSE q * 3 + disc END AS cpu FROM reports)
-  SELECT CASE WHEN cpu IS NULL THEN 'empty' ELSE path END AS key, coalesce(sum(cpu) FILTER (WHERE NOT isnan(cpu)), 0) AS total,
+  SELECT CASE WHEN cpu IS NOT NULL THEN path END AS key, coalesce(sum(cpu) FILTER (WHERE NOT isnan(cpu)), 0) AS total,
     count(cpu) FILTER (WHERE NOT isnan(cpu)) AS valid, count(*) AS seen FROM v GROUP BY ALL""")
 def emit_reduce(spark, sf):
     cpu = job_metric("cpu.AvgEventCPU")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobledger.plans.oracle import PRELUDE
+from jobledger.plans.oracle import prelude
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None, plain: bool = False) -> Callable[[Q
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = function
         if sql is not None:
-            CHECKS[name] = sql if plain else PRELUDE + sql
+            CHECKS[name] = sql if plain else prelude(sql) + sql
         return function
 
     return add

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from jobledger.operators.rollup import rollup
 from jobledger.schema import REPORT_DDL
 from jobledger.session import new_dir, settings
 from jobledger.sources.reports import read_reports
@@ -52,6 +53,22 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_reports(spark, _write(spark, sf_dir, "processing"))
 
 
+def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored day roll-up of the processing reports, with all metrics; written once per session.
+
+    Partitioned by month and sorted by day within, so a time frame prunes
+    folders and then row groups.
+    """
+    reports = archive(spark, sf_dir)
+    path = f"{_ROOTS[(spark.sparkContext.applicationId, sf_dir)]}-rollup"
+    if path not in _WRITTEN:
+        rows = rollup(reports, "day").withColumns({"year": F.year("start_date"), "month": F.month("start_date")})
+        (rows.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "start_date")
+             .write.mode("overwrite").partitionBy(*LAYOUT).parquet(path))
+        _WRITTEN.add(path)
+    return spark.read.parquet(path)
+
+
 def stream_archive(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """Processing reports as a stream of arriving files."""
     reader = spark.readStream.schema(REPORT_DDL)

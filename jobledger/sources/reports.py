@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from jobledger.functions.scalar import document_id, parse_day
 from jobledger.schema import REPORT_DDL
 
-# Id lists up to this length become literals of the plan.
-MAX_LITERAL_IDS = 1000
 
 
 def read_reports(spark: SparkSession, paths: str | list[str], schema: str | None = REPORT_DDL,
@@ -91,16 +89,12 @@ def resolve_source(spark: SparkSession, root: str, source: str, today: dt.date |
 def by_ids(df: DataFrame, ids: list[str] | DataFrame, column: str = "report_id") -> DataFrame:
     """Rows with an id from a list, or from the single column of a DataFrame.
 
-    A short list is a literal of the plan and reaches the scan; anything longer
-    is a semi join, which Spark broadcasts only when the measured size allows.
+    A list is a literal of the plan and reaches the scan, whatever its length;
+    one that is long belongs into a DataFrame, which is a semi join.
     """
     if isinstance(ids, DataFrame):
-        wanted = ids.toDF(column)
-    elif len(ids) <= MAX_LITERAL_IDS:
-        return df.where(F.col(column).isin(ids))
-    else:
-        wanted = df.sparkSession.createDataFrame([(i,) for i in ids], f"{column} string")
-    return df.join(wanted, column, "left_semi")
+        return df.join(ids.toDF(column), column, "left_semi").select(*df.columns)
+    return df.where(F.col(column).isin(ids))
 
 
 def choose_tier(timerange: Iterable, threshold_days: int = 30, today: dt.date | None = None) -> str:

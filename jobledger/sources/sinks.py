@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from jobledger.schema import PARTITION_COLUMNS
+from jobledger.session import materialise
 
-# Documents above 10 MB are not published; files aim at 256 MB.
+# Fixed value: documents above 10 MB are not published.
 MAX_DOCUMENT_BYTES = 10 * 1024 * 1024
-FILE_BYTES = 256 * 1024 * 1024
 # Site tiers a topic can stand for.
 SITE_TIERS = ["T1_", "T2_", "T3_"]
 
@@ -45,37 +45,43 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
 
 
 def new_rows(df: DataFrame, target: DataFrame | None, key: str) -> DataFrame:
-    """First row per key, without the keys the target already has."""
-    fresh = df.dropDuplicates([key])
-    return fresh if target is None else fresh.join(target.select(key), key, "left_anti")
+    """First row per key, without the keys the target already has.
 
-
-def _same_partitions(df: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:
-    """The target's partitions between the first and last one that occurs in ``df``."""
-    low, high = df.agg(F.min(F.struct(*by)), F.max(F.struct(*by))).first()
-    if low is None:
-        return target
-    bounds = [F.struct(*[F.lit(row[c]).alias(c) for c in by]) for row in (low, high)]
-    return target.where(F.struct(*by).between(*bounds))
+    Rows without a key are no copies of each other: all of them are new.
+    """
+    keyed = df.where(F.col(key).isNotNull()).dropDuplicates([key])
+    if target is not None:
+        keyed = keyed.join(target.select(key), key, "left_anti").select(*df.columns)
+    return keyed.unionByName(df.where(F.col(key).isNull()))
 
 
 def append_new(df: DataFrame, path: str, key: str = "report_id",
                partition_by: list[str] | None = None) -> None:
-    """Append documents whose id is not stored yet.
+    """Append documents whose id is not stored yet, wherever it is stored.
 
-    In a partitioned table the id of a document decides its content, hence its
-    partition: ids are looked up in the partitions of the batch only, so an
-    append costs what the batch costs, however large the table is.
+    The id column of the whole target is read, because a report that is sent
+    again may carry another date; nothing else of it is.  The batch is staged
+    first, so that it is computed once although it is read twice.
     """
     target = read_or_none(df.sparkSession, path)
-    if target is not None and partition_by:
-        target = _same_partitions(df, target, partition_by)
-    write(new_rows(df, target, key), path, partition_by=partition_by)
+    batch = df if target is None else materialise(df, "batch")
+    write(new_rows(batch, target, key), path, partition_by=partition_by)
 
 
 def upsert_rollup(df: DataFrame, path: str) -> None:
-    """Append roll-up rows whose scope hash is not stored yet."""
-    append_new(df, path, key="hash")
+    """Store roll-up rows by day; a stored row of the same scope hash is replaced.
+
+    Only the days that occur in ``df`` are read and rewritten: a scope hash
+    holds its bucket's start, so a row can have no other day.
+    """
+    day = F.to_date("start_date")
+    rows = materialise(df.withColumn("day", day), "rollup")
+    target = read_or_none(df.sparkSession, path)
+    if target is not None:
+        touched = target.join(rows.select("day").distinct(), "day", "left_semi")
+        kept = touched.join(rows.select("hash"), "hash", "left_anti")
+        rows = materialise(rows.unionByName(kept, allowMissingColumns=True), "rollup")
+    replace_partitions(rows, path, ["day"])
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -192,7 +198,16 @@ def write_topics(df: DataFrame, path: str) -> None:
     df.select("topic", F.to_json(F.struct(*fields)).alias("value")).write.mode("append").partitionBy("topic").json(path)
 
 
+def _document_bytes(df: DataFrame) -> Column:
+    return F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+
+
 def publishable(df: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
     """Documents small enough to publish, with a numeric copy of the arrival time."""
-    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-    return df.where(size <= max_bytes).withColumn("wmats_num", F.col("ingest_ts").cast("bigint"))
+    return df.where(_document_bytes(df) <= max_bytes).withColumn("wmats_num", F.col("ingest_ts").cast("bigint"))
+
+
+def oversized(df: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+    """Id and size of the documents that :func:`publishable` leaves out."""
+    size = _document_bytes(df)
+    return df.where(size > max_bytes).select("report_id", size.cast("bigint").alias("n_bytes"))

@@ -25,26 +25,28 @@ def enrich(df: DataFrame, now: Column | None = None, kind: str = "fwjr", stage:
 
 
 def ingest_stream(source: DataFrame, target: str, checkpoint: str, delay: str = "1 day",
-                  partition_by: list[str] | None = None) -> StreamingQuery:
-    """Append arriving reports once per id.
+                  partition_by: list[str] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Stamp arriving reports and append them once per id.
 
     Repeats within the delay are dropped by stream state, which the watermark
     bounds; later repeats, and batches replayed after a failure, by the anti
     join with the target.  The watermark follows the time of processing, so a
-    report is never too late to be stored.
+    report is never too late to be stored.  ``trigger`` is what ``writeStream.trigger``
+    takes, such as ``{"processingTime": "600 seconds"}`` to go on for ever; by
+    default what has arrived is drained.
     """
-    timed = source.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    timed = enrich(source).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
     once = timed.dropDuplicatesWithinWatermark(["report_id"]).drop("_arrived")
 
     def store(batch: DataFrame, _: int) -> None:
         append_new(batch, target, partition_by=partition_by)
 
     return (once.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-                .trigger(availableNow=True).start())
+                .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def migrate(spark: SparkSession, hot: str, cold: str, bad: str, checkpoint: str, schema: dict,
-            files_per_batch: int = 1000) -> StreamingQuery:
+            files_per_batch: int = 1000, trigger: dict | None = None) -> StreamingQuery:
     """Move documents that arrived in the hot folder since the last run to the cold tables.
 
     The checkpoint remembers what was moved, so no mark is written back to the
@@ -60,4 +62,4 @@ def migrate(spark: SparkSession, hot: str, cold: str, bad: str, checkpoint: str,
         append_new(checked.where(F.size("errors") > 0), bad, key="doc_key")
 
     return (arrived.writeStream.foreachBatch(move).option("checkpointLocation", checkpoint)
-                   .trigger(availableNow=True).start())
+                   .trigger(**(trigger or {"availableNow": True})).start())

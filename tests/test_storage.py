@@ -49,7 +49,8 @@ def test_append_is_idempotent(make, tmp_path, spark):
 def test_append_to_partitions_looks_up_their_ids(make, tmp_path, spark):
     path, by = str(tmp_path / "p"), ["year", "month", "day"]
     old, new = report("a", ts="2017-01-01 00:00:00"), report("b", ts="2017-05-01 00:00:00")
-    for batch in ([old], [old, new], [new], []):
+    moved = report("a", ts="2018-03-01 00:00:00")
+    for batch in ([old], [old, new], [new], [moved], []):
         sinks.append_new(make(*batch) if batch else make(new).limit(0), path, partition_by=by)
     assert sorted(r.report_id for r in spark.read.parquet(path).collect()) == ["a", "b"]
 
@@ -98,6 +99,7 @@ def test_results_are_replaced(spark, tmp_path):
 def test_size_limit(make):
     df = make(report("small"), report("large", lfns=["x" * 5000]))
     assert [r.report_id for r in sinks.publishable(df, 4000).collect()] == ["small"]
+    assert [(r.report_id, r.n_bytes > 4000) for r in sinks.oversized(df, 4000).collect()] == [("large", True)]
 
 
 def test_routing_sends_each_record_once_per_topic(spark):
