@@ -125,9 +125,10 @@ def _crowded(probes: DataFrame, table: DataFrame, crowds: DataFrame, distance: i
     def blocks(df: DataFrame, own: str, other: str) -> DataFrame:
         n = F.ceil(F.col("n") / bucket).cast("int")
         most = F.ceil(F.col("most") / bucket).cast("int")
+        columns = ["k", "t", "p", *dict.fromkeys(["f", *names])]
         return (df.join(crowds, "k").withColumn(own, F.pmod(F.xxhash64("f"), n if own == "t" else most).cast("int"))
                   .withColumn(other, F.explode(F.sequence(F.lit(0), (most if own == "t" else n) - 1)))
-                  .select("k", "t", "p", *dict.fromkeys(["f", *names])))
+                  .select(*columns).toDF(*columns))
 
     def link(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         pairs = []
