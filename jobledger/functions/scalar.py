@@ -136,7 +136,11 @@ def human_duration(seconds: Column) -> Column:
 def bucket_start(when: Column, precision: str) -> Column:
     if precision not in ("hour", "day", "week", "month"):
         raise ValueError(f"no such precision: {precision}")
-    return F.date_trunc(precision, when).cast("timestamp_ntz")
+    # By the calendar date, not by an instant: the session's time zone has no say in it.
+    day = when.cast("date")
+    if precision == "hour":
+        return day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(when))
+    return (F.trunc(day, precision) if precision in ("week", "month") else day).cast("timestamp_ntz")
 
 
 def bucket_end(start: Column, precision: str) -> Column:
@@ -147,7 +151,10 @@ def bucket_end(start: Column, precision: str) -> Column:
 
 
 def iso_ts(when: Column) -> Column:
-    return F.date_format(when, ISO_FORMAT)
+    """A zone-free timestamp as ISO text with milliseconds."""
+    text = when.cast("timestamp_ntz").cast("string")
+    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."),
+                    F.rpad(F.substring(text, 21, 3), 3, "0"), F.lit("Z"))
 
 
 def cutoff(interval: str, now: dt.datetime) -> dt.datetime:

@@ -14,7 +14,7 @@ from jobledger.session import new_dir
 from jobledger.schema import REPORT_DDL
 from jobledger.sources import sinks
 from jobledger.sources.archive import archive, full_archive
-from jobledger.sources.reports import prune, read_reports, resolve_source, tiered_read
+from jobledger.sources.reports import prune, read_documents, read_reports, resolve_source, tiered_read
 
 BY_TYPE = "SELECT jobtype, count(*) AS n, CAST(sum(wall_s) AS BIGINT) AS wall FROM reports GROUP BY ALL"
 TODAY = dt.date(1998, 7, 1)
@@ -96,6 +96,50 @@ def json_gz(spark, sf):
     return by_type(read_reports(spark, path, fmt="json"))
 
 
+_DOCUMENTS = """
+  SELECT * FROM (SELECT jobtype, count(*) AS n, CAST(sum(wall_s) AS BIGINT) AS wall FROM reports GROUP BY ALL)
+    JOIN (SELECT jobtype, CAST(sum(CAST(code AS BIGINT)) AS BIGINT) AS codes FROM errors GROUP BY ALL) USING (jobtype)
+    JOIN (SELECT jobtype, count(site) AS sites, CAST(sum(CASE WHEN name = 'cmsRun1' THEN cents // 2 END) AS BIGINT) AS cpu
+          FROM steps GROUP BY ALL) USING (jobtype)"""
+
+
+def _archived(spark, sf, steps):
+    """Reports written as the archive writes them, read back."""
+    path = new_dir(spark, "documents")
+    step = lambda s: s.withField("site", F.coalesce(s["site"], F.lit("{}"))).withField(
+        "errors", F.transform(s["errors"], lambda e: e.withField("exitCode", e["exitCode"].cast("int"))))
+    meta = [F.col(f"meta.{n}").alias("fwjr_id" if n == "job_id" else n) for n in (
+        "agent_ver", "job_id", "crab_id", "host", "wn_name", "jobtype", "jobstate", "ts")]
+    shaped = archive(spark, sf).select(
+        F.col("report_id").alias("wmaid"), F.col("ingest_ts").alias("wmats"), "task", F.col("campaign").alias("Campaign"),
+        F.struct(*meta).alias("meta_data"), F.col("lfns").alias("LFNArray"),
+        F.struct(F.col("wall_s").alias("WMTotalWallClockTime")).alias("WMTiming"), steps(F.transform("steps", step)).alias("steps"))
+    shaped.select(F.to_json(F.struct("*"))).write.option("compression", "gzip").text(path)
+    rows = read_documents(spark, path)
+    codes = F.flatten(F.transform("steps", lambda s: F.transform(s["errors"], lambda e: e["exitCode"].try_cast("bigint"))))
+    total = lambda xs: F.aggregate(F.filter(xs, lambda x: x.isNotNull()), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    cpu = F.transform(F.filter("steps", lambda s: s["name"] == "cmsRun1"), lambda s: s["performance"]["cpu"]["TotalJobCPU"].cast("bigint"))
+    present = lambda xs, x: F.when(F.size(F.filter(xs, lambda v: v.isNotNull())) > 0, x)
+    return rows.groupBy("meta.jobtype").agg(
+        F.count("*").alias("n"), F.sum("wall_s").alias("wall"), F.sum(present(codes, total(codes))).alias("codes"),
+        F.sum(F.size(F.filter("steps", lambda s: s["site"].isNotNull()))).cast("bigint").alias("sites"), F.sum(total(cpu)).alias("cpu"))
+
+
+@query("s06_raw_documents", _DOCUMENTS)
+def raw_documents(spark, sf):
+    return _archived(spark, sf, lambda steps: steps)
+
+
+@query("s06_legacy_documents", _DOCUMENTS)
+def legacy_documents(spark, sf):
+    return _archived(spark, sf, lambda steps: F.map_from_entries(F.transform(steps, lambda s: F.struct(s["name"], s))))
+
+
+@query("w07_first_rows", "SELECT report_id, path AS task FROM reports ORDER BY report_id, task LIMIT 20")
+def first_rows(spark, sf):
+    return archive(spark, sf).select("report_id", "task").orderBy("report_id", "task").limit(20)
+
+
 @query("s08_tiered_read", """
   SELECT CASE WHEN ship_day < DATE '1998-06-01' THEN 'cold' ELSE 'hot' END AS stage, count(*) AS n FROM reports
   WHERE ship_day BETWEEN DATE '1998-05-10' AND DATE '1998-06-20' GROUP BY ALL""")

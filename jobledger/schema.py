@@ -40,6 +40,14 @@ REPORT_COLUMNS = {
 PARTITION_COLUMNS = ["year", "month", "day"]
 REPORT_DDL = ", ".join(f"{n} {t}" for n, t in REPORT_COLUMNS.items()) + ", year int, month int, day int"
 
+# A document as the archive holds it: its own names, and steps as text because their shape varies.
+DOCUMENT_DDL = (
+    "wmaid string, wmats double, stype string, dtype string, task string, Campaign string, PrepID string, "
+    "meta_data struct<agent_ver:string,fwjr_id:string,crab_id:string,host:string,wn_name:string,"
+    "jobtype:string,jobstate:string,ts:bigint>, LFNArray array<string>, PFNArray array<string>, "
+    "skippedFiles array<int>, fallbackFiles array<int>, WMTiming struct<WMTotalWallClockTime:bigint>, steps string"
+)
+
 # The scope keys of a roll-up row that users can filter by.
 SCOPE_KEYS = [
     "workflow", "task", "host", "site", "jobtype", "jobstate",

@@ -9,8 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobledger.functions.scalar import document_id, parse_day
-from jobledger.schema import REPORT_DDL
-
+from jobledger.schema import DOCUMENT_DDL, METRICS, REPORT_DDL, STEPS
 
 
 def read_reports(spark: SparkSession, paths: str | list[str], schema: str | None = REPORT_DDL,
@@ -40,6 +39,41 @@ def normalise_steps(df: DataFrame) -> DataFrame:
         "steps", lambda s: s.withField("site", normalise_sites(s["site"]))))
 
 
+def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Archived documents, one JSON object per line (also compressed), as reports of this model.
+
+    Steps may be a list, or a map by name as older documents have it; a site that
+    is an empty object is missing; codes may be numbers; metrics that are no
+    numbers are missing.  A line of any other shape has its text in ``_corrupt`` and nothing else.
+    """
+    raw = spark.read.text(paths).select("value", F.from_json("value", DOCUMENT_DDL).alias("d"))
+    loose = STEPS.replace(METRICS, "map<string,string>")
+    one = loose.removeprefix("array<").removesuffix(">")
+    text = F.ltrim(F.col("d.steps"))
+    listed = F.when(text.startswith("["), F.from_json(text, loose)).when(
+        text.startswith("{"), steps_from_map(F.from_json(text, f"map<string,{one}>")))
+    rows = raw.withColumn("steps", listed)
+    known = F.col("d.meta_data").isNotNull() & F.col("steps").isNotNull()
+
+    def measured(step: Column) -> Column:
+        groups = {g: F.transform_values(step["performance"][g], lambda _, v: v.try_cast("double")) for g in ("cpu", "storage", "memory")}
+        performance = F.when(step["performance"].isNotNull(), F.struct(*[m.alias(g) for g, m in groups.items()]))
+        return step.withField("performance", performance).withField("site", normalise_sites(step["site"]))
+
+    meta = F.col("d.meta_data")
+    day = F.date_add(F.lit(dt.date(1970, 1, 1)), F.floor(F.col("d.meta_data.ts") / 86400).cast("int"))
+    columns = {
+        "report_id": F.col("d.wmaid"), "ingest_ts": F.col("d.wmats"), "stage": F.col("d.stype"), "kind": F.col("d.dtype"),
+        "task": F.col("d.task"), "campaign": F.col("d.Campaign"), "prep_id": F.col("d.PrepID"),
+        "meta": F.struct(meta["agent_ver"].alias("agent_ver"), meta["fwjr_id"].alias("job_id"),
+                         *[meta[n].alias(n) for n in ("crab_id", "host", "wn_name", "jobtype", "jobstate", "ts")]),
+        "lfns": F.col("d.LFNArray"), "pfns": F.col("d.PFNArray"), "skipped": F.col("d.skippedFiles"),
+        "fallback": F.col("d.fallbackFiles"), "wall_s": F.col("d.WMTiming.WMTotalWallClockTime"),
+        "steps": F.transform("steps", measured), "year": F.year(day), "month": F.month(day), "day": F.day(day),
+    }
+    return rows.select(*[F.when(known, c).alias(n) for n, c in columns.items()], F.when(~known | known.isNull(), F.col("value")).alias("_corrupt"))
+
+
 def steps_from_map(steps: Column) -> Column:
     """Older reports keep steps as a map by name: as a list ordered by name."""
     return F.transform(F.array_sort(F.map_keys(steps)),
