@@ -92,9 +92,14 @@ class Literal:
 Rule = tuple[Literal, ...]
 
 
+def _between(seen: list[float]) -> list[float]:
+    """Cuts between neighbouring values, a quarter of the way: a rule at the edge of a class leaves it some room."""
+    return [a + (b - a) / 4 for a, b in zip(seen, seen[1:], strict=False)]
+
+
 def _bin(value: Column, cuts: list[float]) -> Column:
     """How many cuts a value lies above."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: value > c))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: value > c))
 
 
 def _all(rule: Rule) -> Column:
@@ -149,7 +154,7 @@ def learn_rules(labelled: DataFrame, label: str, stats: str = "stats", precision
 
     Two thirds of the rows grow a rule; the others prune it to its best
     beginning and must agree that it is right in ``precision`` of the cases.
-    Statistics are cut at their quantiles and counted by cut, so what reaches
+    Statistics are cut between their quantiles and counted by cut, so what reaches
     the driver is one count for each feature and cut, however many rows there
     are.  Rows without a label are ignored; without bad or good ones no rule
     comes out.  ``most_rules`` only ends a list that keeps finding rules.
@@ -163,7 +168,7 @@ def learn_rules(labelled: DataFrame, label: str, stats: str = "stats", precision
     found = rows.groupBy("bad").agg(*[F.percentile_approx(f, steps, 1000).alias(f) for f in values]).collect()
     if len(found) < 2:
         return []
-    cuts = {f: sorted({float(x) for row in found for x in row[f] or []}) for f in values}
+    cuts = {f: _between(sorted({float(x) for row in found for x in row[f] or []})) for f in values}
     binned = rows.select("bad", "prune", *[
         _bin(F.col(f), cuts[f]).alias(f) for f in cuts])
     binned = materialise(binned.groupBy(*binned.columns).agg(F.count("*").alias("n")), "binned")
