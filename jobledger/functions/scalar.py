@@ -150,6 +150,12 @@ def bucket_end(start: Column, precision: str) -> Column:
     return start + F.expr(length)
 
 
+def instant_of(when: Column) -> Column:
+    """A zone-free (UTC) timestamp as an instant, whatever the session's time zone."""
+    seconds = F.unix_date(when.cast("date")).cast("bigint") * 86400 + F.hour(when) * 3600 + F.minute(when) * 60
+    return F.timestamp_seconds(seconds + F.extract(F.lit("SECOND"), when))
+
+
 def iso_ts(when: Column) -> Column:
     """A zone-free timestamp as ISO text with milliseconds."""
     text = when.cast("timestamp_ntz").cast("string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Job states, in the order they are stacked.
+# Job states.
 JOB_STATES = ["success", "jobfailed", "submitfailed"]
 
 
@@ -35,12 +35,14 @@ def state_share(states: DataFrame, label: str = "label") -> DataFrame:
 
 
 def stack_states(states: DataFrame, label: str = "label") -> DataFrame:
-    """Start and end of each state when a label's states are stacked, absent states as zero."""
-    zeros = states.select(label).distinct().select(
-        label, F.explode(F.array(*[F.lit(s) for s in JOB_STATES])).alias("jobstate"),
-        F.lit(0).cast("bigint").alias("count"))
-    filled = states.select(label, "jobstate", "count").unionByName(zeros) \
-                   .groupBy(label, "jobstate").agg(F.sum("count").alias("count"))
+    """Start and end of each state when a label's states are stacked by name, absent states as zero.
+
+    Every row brings the zeros along, which the partial sums remove again, so the input is read once.
+    """
+    own = F.struct(F.col("jobstate"), F.col("count").cast("bigint").alias("count"))
+    zeros = [F.struct(F.lit(s).alias("jobstate"), F.lit(0).cast("bigint").alias("count")) for s in JOB_STATES]
+    filled = states.select(label, F.explode(F.array(own, *zeros)).alias("s")) \
+                   .groupBy(label, F.col("s.jobstate").alias("jobstate")).agg(F.sum("s.count").alias("count"))
     running = Window.partitionBy(label).orderBy("jobstate").rowsBetween(Window.unboundedPreceding, 0)
     return (filled.withColumn("end", F.sum("count").over(running))
                   .withColumn("start", F.col("end") - F.col("count")))

@@ -13,7 +13,7 @@ from jobledger.plans.registry import query
 from jobledger.session import new_dir
 from jobledger.schema import REPORT_DDL
 from jobledger.sources import sinks
-from jobledger.sources.archive import archive, full_archive
+from jobledger.sources.archive import LAYOUT, archive, full_archive
 from jobledger.sources.reports import prune, read_documents, read_reports, resolve_source, tiered_read
 
 BY_TYPE = "SELECT jobtype, count(*) AS n, CAST(sum(wall_s) AS BIGINT) AS wall FROM reports GROUP BY ALL"
@@ -83,8 +83,9 @@ def daily_layout(spark, sf):
   SELECT CAST(year(ship_day) AS INTEGER) AS year, count(*) AS source_rows, count(*) FILTER (WHERE year(ship_day) <> 1999) AS copy_rows,
     year(ship_day) <> 1999 AS same FROM reports GROUP BY ALL""")
 def copy_check(spark, sf):
-    source = envelope(spark, sf)
-    rows = sinks.check_copy(source, source.where("year <> 1999"))
+    source, path = envelope(spark, sf), new_dir(spark, "copy")
+    sinks.write_daily(source.where("year <> 1999"), path, by=LAYOUT)
+    rows = sinks.check_copy(source, spark.read.parquet(path))
     return rows.groupBy("year").agg(F.sum("source_rows").alias("source_rows"), F.sum("copy_rows").alias("copy_rows"),
                                     F.bool_and("same").alias("same"))
 
@@ -145,8 +146,11 @@ def first_rows(spark, sf):
   WHERE ship_day BETWEEN DATE '1998-05-10' AND DATE '1998-06-20' GROUP BY ALL""")
 def tiered(spark, sf):
     reports = envelope(spark, sf)
-    hot = reports.where("year = 1998")
-    cold = reports.where("ingest_ts < unix_date(date'1998-06-01') * 86400 + 3600").withColumn("stage", F.lit("cold"))
+    root = new_dir(spark, "tiers")
+    sinks.write_daily(reports.where("year = 1998"), f"{root}/hot", by=LAYOUT)
+    old = reports.where("ingest_ts < unix_date(date'1998-06-01') * 86400 + 3600 and year >= 1998")
+    sinks.write_daily(old.withColumn("stage", F.lit("cold")), f"{root}/cold", by=LAYOUT)
+    hot, cold = (spark.read.parquet(f"{root}/{tier}") for tier in ("hot", "cold"))
     return tiered_read(hot, cold, RANGE, 30, TODAY).groupBy("stage").agg(F.count("*").alias("n"))
 
 

@@ -15,7 +15,9 @@ from jobledger.plans.registry import query
 from jobledger.schema import ROLLUP_KEYS, SCOPE_KEYS, TREE_METRICS
 from jobledger.sources.archive import archive
 
-FEW = ["cpu.TotalJobTime", "storage.readTotalMB", "memory.PeakValueRss"]
+
+# Metrics whose sums over steps the check spells out.
+SUMMED = ["cpu.TotalJobTime", "storage.readTotalMB", "memory.PeakValueRss"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +45,9 @@ query("flagship_top_sites", """
   WHERE n > 0 AND s / n >= 0 GROUP BY label ORDER BY average DESC, label NULLS FIRST LIMIT 5""")(flagship)
 
 
-@query("a07_rollup_hour", _sql("hour", FEW, "1 HOUR"))
+@query("a07_rollup_hour", _sql("hour", TREE_METRICS, "1 HOUR"))
 def rollup_hour(spark, sf):
-    return _show(rollup(archive(spark, sf), "hour", metrics=FEW))
+    return _show(rollup(archive(spark, sf), "hour", metrics=TREE_METRICS))
 
 
 @query("a07_rollup_day", _sql("day", TREE_METRICS, "1 DAY"))
@@ -53,14 +55,14 @@ def rollup_day(spark, sf):
     return _show(rollup(archive(spark, sf), "day"))
 
 
-@query("a07_rollup_week", _sql("week", FEW, "7 DAY"))
+@query("a07_rollup_week", _sql("week", TREE_METRICS, "7 DAY"))
 def rollup_week(spark, sf):
-    return _show(rollup(archive(spark, sf), "week", metrics=FEW))
+    return _show(rollup(archive(spark, sf), "week", metrics=TREE_METRICS))
 
 
-@query("a07_rollup_month", _sql("month", FEW, "1 MONTH"))
+@query("a07_rollup_month", _sql("month", TREE_METRICS, "1 MONTH"))
 def rollup_month(spark, sf):
-    return _show(rollup(archive(spark, sf), "month", metrics=FEW))
+    return _show(rollup(archive(spark, sf), "month", metrics=TREE_METRICS))
 
 
 @query("a07_rollup_first_exit_summed_perf", f"""
@@ -74,24 +76,24 @@ def rollup_month(spark, sf):
       LEFT JOIN firsts x USING (report_id))
   SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start_date,
     strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS end_date, 'day' AS precision,
-    {KEYS}, count(*) AS count, {sums(FEW)} FROM summed GROUP BY ALL""")
+    {KEYS}, count(*) AS count, {sums(SUMMED)} FROM summed GROUP BY ALL""")
 def rollup_policies(spark, sf):
-    return _show(rollup(archive(spark, sf), "day", exit_policy="first", perf_policy="sum", metrics=FEW))
+    return _show(rollup(archive(spark, sf), "day", exit_policy="first", perf_policy="sum", metrics=SUMMED))
 
 
-@query("a17_coarsen_hour_to_day", _sql("day", FEW, "1 DAY"))
+@query("a17_coarsen_hour_to_day", _sql("day", TREE_METRICS, "1 DAY"))
 def coarsen_hour_day(spark, sf):
-    return _show(coarsen(rollup(archive(spark, sf), "hour", metrics=FEW), "hour", "day"))
+    return _show(coarsen(rollup(archive(spark, sf), "hour", metrics=TREE_METRICS), "hour", "day"))
 
 
-@query("a17_coarsen_day_to_week", _sql("week", FEW, "7 DAY"))
+@query("a17_coarsen_day_to_week", _sql("week", TREE_METRICS, "7 DAY"))
 def coarsen_day_week(spark, sf):
-    return _show(coarsen(rollup(archive(spark, sf), "day", metrics=FEW), "day", "week"))
+    return _show(coarsen(rollup(archive(spark, sf), "day", metrics=TREE_METRICS), "day", "week"))
 
 
-@query("a17_coarsen_day_to_month", _sql("month", FEW, "1 MONTH"))
+@query("a17_coarsen_day_to_month", _sql("month", TREE_METRICS, "1 MONTH"))
 def coarsen_day_month(spark, sf):
-    return _show(coarsen(rollup(archive(spark, sf), "day", metrics=FEW), "day", "month"))
+    return _show(coarsen(rollup(archive(spark, sf), "day", metrics=TREE_METRICS), "day", "month"))
 
 
 @query("a18_scope_hash", """
@@ -103,11 +105,11 @@ def hashes(spark, sf):
                     F.sum("count").alias("jobs"), F.max(F.length("hash")).alias("hash_length"))
 
 
-@query("a20_merge_rollups", _sql("day", FEW, "1 DAY"))
+@query("a20_merge_rollups", _sql("day", TREE_METRICS, "1 DAY"))
 def merged(spark, sf):
     reports = archive(spark, sf)
-    good = rollup(reports.where("meta.jobtype = 'Processing'"), "day", metrics=FEW)
-    rest = rollup(reports.where("meta.jobtype <> 'Processing'"), "day", metrics=FEW)
+    good = rollup(reports.where("meta.jobtype = 'Processing'"), "day", metrics=TREE_METRICS)
+    rest = rollup(reports.where("meta.jobtype <> 'Processing'"), "day", metrics=TREE_METRICS)
     return _show(merge_rollups(good, rest))
 
 

@@ -161,7 +161,7 @@ def get_result(spark: SparkSession, path: str, qid: str) -> DataFrame:
 
 
 def list_results(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of the stored results; only folder names are read."""
+    """Ids of the stored results; they are folder names, so no column of a result is read."""
     return spark.read.parquet(path).select("query_id").distinct()
 
 
