@@ -135,14 +135,17 @@ def encoded(texts: list[str], path: str, keep: Callable) -> Iterator[list]:
         return
     known = _KNOWN.setdefault((path, keep.__name__), {})
     for batch in balanced(texts):
-        split = [[w for piece in pieces(t) for line in piece.split("\n") for w in line.split(" ")] for t in batch]
-        fresh = {w for found in split for w in found if w not in known}
+        split = [[w for piece in pieces(t) for w in piece.replace("\n", " ").split(" ")] if len(t) > PIECE_CHARS
+                 else t.replace("\n", " ").split(" ") for t in batch]
+        every = set().union(*split)
+        fresh = every.difference(known)
         if len(known) + len(fresh) > MEMORY and known:
             known.clear()
-            fresh = {w for found in split for w in found}
-        _learn(fresh, known, path, keep)
+            fresh = every
+        if fresh:
+            _learn(fresh, known, path, keep)
         for found in split:
-            yield [known[w] for w in found]
+            yield list(map(known.__getitem__, found))
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
