@@ -21,6 +21,7 @@ WIDE_DISTANCE = 22
 WIDE_SEGMENTS = (16, 16, 16, 16)
 WIDE_WORDS = 2
 BUCKET = 4096
+PIVOTS = 4
 CHUNK = 1 << 16
 
 
@@ -143,6 +144,20 @@ def _crowded(probes: DataFrame, table: DataFrame, crowds: DataFrame, distance: i
             .applyInPandas(link, "a long, b long").where("a <> b"))
 
 
+def _differ(names: list[str], a: str, b: str) -> Column:
+    """In how many bits two fingerprints differ."""
+    return sum((F.bit_count(F.col(f"{a}.{n}").bitwiseXOR(F.col(f"{b}.{n}"))) for n in names), F.lit(0))
+
+
+def _stars(table: DataFrame, own: list[str], names: list[str], distance: int) -> DataFrame:
+    """Links to a few pivots of each bucket: rows in proportion to its entries, however dense it is."""
+    pivots = [F.min(F.struct(F.xxhash64("f", F.lit(i)).alias("h"), *own)) for i in range(PIVOTS)]
+    chosen = table.groupBy("k").agg(F.count("*").alias("n"), F.array_distinct(F.array(*pivots)).alias("pivots"))
+    pairs = table.alias("t").join(chosen.where("n > 1"), "k").select("t.*", F.explode("pivots").alias("b"))
+    pairs = pairs.select(F.struct(*own).alias("a"), "b").where((F.col("a.f") != F.col("b.f")) & (_differ(names, "a", "b") <= distance))
+    return pairs.select(F.col("a.f").alias("a"), F.col("b.f").alias("b"))
+
+
 def near_links(prints: DataFrame, distance: int = DISTANCE, bits: tuple[int, ...] = SEGMENTS, bucket: int = BUCKET,
                words: int = 1) -> DataFrame:
     """Links ``a, b`` that join the distinct fingerprints ``f`` within ``distance`` bits.
@@ -156,6 +171,12 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, bits: tuple[int, ...
     missed if two bits or more differ in every segment: with 128 bits in eight
     segments and 15 % of them different, in 7 % of the cases.
 
+    Near copies lie close together, and all pairs of a large group would be a
+    square.  So the entries of a bucket are first compared with a few pivots
+    of it; what these stars connect is one part, and the search then gives links between
+    different parts only.  No link is lost: those left out have both ends
+    in one part already.
+
     Wider segments suit more fingerprints: a bucket holds N / 2^width on
     average.  A bucket with more than ``bucket`` entries (near copies that share
     a segment) is not joined: its blocks are compared pair by pair and give
@@ -171,8 +192,11 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, bits: tuple[int, ...
         entries.append((value + tag).alias("k"))
         lookups.append(_ball(s, width, value, tag, distance > 0))
     own = list(dict.fromkeys(["f", *names]))
-    table = prints.select(*own, F.explode(F.array(*entries)).alias("k"))
-    probes = prints.select(*own, F.explode(F.concat(*lookups)).alias("e")).select(*own, "e.*")
+    stars = materialise(_stars(prints.select(*own, F.explode(F.array(*entries)).alias("k")), own, names, distance).distinct(), "stars")
+    parts = components(stars, "a", "b")
+    prints = prints.join(parts, prints.f == parts.node, "left").select(*own, F.coalesce("root", "f").alias("part"))
+    table = prints.select(*own, "part", F.explode(F.array(*entries)).alias("k"))
+    probes = prints.select(*own, "part", F.explode(F.concat(*lookups)).alias("e")).select(*own, "part", "e.*")
     full = materialise(table.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "crowds")
     crowded = not full.isEmpty()
     cold_table, cold_probes = table, probes
@@ -182,8 +206,8 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, bits: tuple[int, ...
         cold_table = table.join(full.select("k"), "k", "left_anti")
         cold_probes = probes.join(full.select("k"), "k", "left_anti")
     xor = {n: F.col(f"p.{n}").bitwiseXOR(F.col(f"t.{n}")) for n in names}
-    differ = sum((F.bit_count(x) for x in xor.values()), F.lit(0))
-    condition = (differ <= distance) & (~F.col("p.same") | (F.col("p.f") < F.col("t.f")))
+    condition = ((F.col("p.part") != F.col("t.part")) & (_differ(names, "p", "t") <= distance)
+                 & (~F.col("p.same") | (F.col("p.f") < F.col("t.f"))))
     if not crowded:  # else the first close segment may be one that is not joined
         first = F.lit(None).cast("int")
         for s, (name, low, width) in reversed(list(enumerate(_segments(bits, names)))):
@@ -191,6 +215,7 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, bits: tuple[int, ...
         condition &= first == F.col("p.s")
     links = (cold_probes.alias("p").join(cold_table.alias("t"), (F.col("p.k") == F.col("t.k")) & condition)
              .select(F.col("p.f").alias("a"), F.col("t.f").alias("b")))
+    links = links.union(stars)
     return links.union(_crowded(probes, table, full, distance, bucket, names)) if crowded else links
 
 
