@@ -77,15 +77,20 @@ def _features_of(text: Column, model: Model) -> Column:
     return run(text)
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
-    """Logistic regression by Newton steps, on scaled columns; one class alone gives its smoothed share."""
-    means, scales = x.mean(axis=0), x.std(axis=0) + 1e-9
+def fit_weights(x: np.ndarray, y: np.ndarray, each: np.ndarray | None = None) -> tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
+    """Logistic regression by Newton steps, on scaled columns; one class alone gives its smoothed share.
+
+    ``each`` says how many rows each one stands for; only their ratios count.
+    """
+    each = np.ones(len(x)) if each is None else each / each.mean()
+    means = np.average(x, axis=0, weights=each)
+    scales = np.sqrt(np.average((x - means) ** 2, axis=0, weights=each)) + 1e-9
     design = np.column_stack([np.ones(len(x)), (x - means) / scales])
     w = np.zeros(design.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        h = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(len(w))
-        w += np.linalg.solve(h, design.T @ (y - p) - 1e-2 * w)
+        h = (design * (each * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(len(w))
+        w += np.linalg.solve(h, design.T @ (each * (y - p)) - 1e-2 * w)
     return tuple(w), tuple(means), tuple(scales)
 
 
@@ -97,9 +102,13 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic text the surroundings of words that are far more frequent there (by
     the number of texts; a word counts if its z value is half of the largest
     or more).  At most ``windows`` of each kind reach the driver.  The other half
-    calibrates: their scores are fitted to labels.
+    calibrates: their scores are fitted to labels, and a row counts for as many
+    as its class has labelled rows for each chosen one, so a score is the
+    probability among all labelled rows, whatever ``rows`` leaves out.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("y"))
+    sizes = known.agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).first()
+    stands = np.array([max(1.0, n / rows) for n in (sizes.n0, sizes.n1)])
     order = [F.xxhash64(F.col(id_col), F.lit("toxic")), F.col(id_col)]
     chosen = known.where("y = 1").orderBy(*order).limit(rows).union(known.where("y = 0").orderBy(*order).limit(rows))
     # Bounded by the two limits.
@@ -114,6 +123,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = own.agg(F.sum("y").alias("na"), F.sum(1 - F.col("y")).alias("nb")).first()
     na, nb = sizes.na or 0, sizes.nb or 0
     if not na or not nb:
+        na, nb = na * stands[1], nb * stands[0]
         share = (na + 1) / (na + nb + 2)
         return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0, 0.0), (0.0,) * 5, (1.0,) * 5)
     p = (F.col("a") + F.col("b")) / (na + nb)
@@ -132,7 +142,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rated = found.where("not fit").select("y", _features_of(F.col("text"), model).alias("x")).collect()
     if not rated:
         rated = own.select("y", _features_of(F.col("text"), model).alias("x")).collect()
-    return Model(model.ordinary, model.toxic, *fit_weights(np.array([r.x for r in rated]), np.array([r.y for r in rated], dtype=float)))
+    y = np.array([r.y for r in rated])
+    return Model(model.ordinary, model.toxic, *fit_weights(np.array([r.x for r in rated]), y.astype(float), stands[y]))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

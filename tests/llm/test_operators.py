@@ -303,6 +303,16 @@ def test_toxicity_held_out(spark):
     assert sum((r.score >= 0.5) == bool(r.toxic) for r in held) >= 0.9 * len(held)
 
 
+def test_toxicity_scores_do_not_depend_on_the_bound(spark):
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in draw.integers(0, 60, 40)), int(i % 10 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for bound in (60, 2000):
+        model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"), rows=bound)
+        scores = [r.score for r in toxicity.score(df, model).collect()]
+        assert abs(np.mean(scores) - 0.1) < 0.05
+
+
 def test_toxicity_of_awkward_rows(awkward, empty):
     labels = awkward.select("doc_id", F.lit(1).alias("toxic"))
     model = toxicity.train(awkward, labels)
