@@ -11,6 +11,7 @@ BLOCK_CHARS = 1 << 16
 QUANTUM = 1000
 TEMPERATURE = 0.7
 BUCKETS = 1024
+UNITS = 1 << 30
 TOO_MANY = "more sources than slots in a period: raise quantum"
 
 
@@ -23,8 +24,8 @@ def schedule(sources: DataFrame, quantum: int = QUANTUM) -> DataFrame:
     at ``floor(k * quantum / quota)`` and due at ``ceil((k + 1) * quantum /
     quota)``; each slot takes the released block that is due first.  The quotas
     fill the period, so every block runs within its window and all windows end
-    with the period: the next one repeats it, and a source is never a block
-    ahead of or behind its weight.
+    with the period, and the next one repeats it.  Quotas are rounded, so what
+    they differ from the weights adds up over periods; ``timetable`` has none.
 
     Returns ``key``, ``quota``, ``slots`` (of its blocks in a period),
     ``n_blocks``, ``length`` (slots until every source has been used up once)
@@ -63,6 +64,50 @@ def schedule(sources: DataFrame, quantum: int = QUANTUM) -> DataFrame:
     return row.select("length", F.explode("s").alias("x")).select("x.*", "length", F.expr(served).alias("served"))
 
 
+def timetable(sources: DataFrame, quantum: int = QUANTUM) -> DataFrame:
+    """EDF schedule of the whole mixture by the weights themselves, a row for each source.
+
+    ``sources`` has ``key``, ``weight`` and ``n_blocks``; a null weight is a share of
+    one in ``quantum``, and the others share the rest.  Shares are whole numbers ``w`` of
+    ``d`` in all (about 2^30), so windows are exact: block ``k`` is released at
+    ``floor(k * d / w)`` and due at ``ceil((k + 1) * d / w)``; each slot takes the
+    released block that is due first.  The shares fill all slots, so every block
+    runs within its window: at any slot a source is less than one block
+    ahead of or behind its weight.
+
+    Returns ``key``, ``w``, ``d``, ``n_blocks``, ``length`` (slots until every source has been
+    used up once), ``slots`` (of its blocks until then) and ``served`` (how many).
+    The state is one row: at most ``quantum`` sources, which is checked, and one number
+    for each slot, that is for each block of the mixture.
+    """
+    everything = Window.partitionBy()
+    unnamed = F.count_if(F.col("weight").isNull()).over(everything) / quantum
+    share = F.when(F.col("weight").isNull(), F.lit(1.0) / quantum).otherwise(
+        F.greatest(F.lit(0.0), 1 - unnamed) * F.col("weight") / F.sum("weight").over(everything))
+    part = sources.withColumn("w", F.greatest(F.round(share * UNITS), F.lit(1)).cast("long"))
+    row = part.agg(F.sort_array(F.collect_list(F.struct("key", "w", "n_blocks"))).alias("s"), F.sum("w").alias("d"), F.count("*").alias("n"))
+    row = row.where(F.col("n") > 0).withColumn(
+        "s", F.when(F.col("n") > quantum, F.raise_error(F.lit(TOO_MANY)).cast(row.schema["s"].dataType)).otherwise(F.col("s")))
+    row = row.withColumn("most", F.expr("array_max(transform(s, x -> (x.n_blocks * d + x.w - 1) div x.w))"))
+    # Slots are appended by ``quantum``, so that no long array is copied for each of them.
+    picks = f"""aggregate(sequence(0L, most - 1, {quantum}L),
+        named_struct('k', transform(s, x -> 0L), 'out', cast(array() as array<array<int>>)),
+        (acc, low) -> transform(array(aggregate(sequence(low, least(low + {quantum}, most) - 1),
+            named_struct('k', acc.k, 'picks', cast(array() as array<int>)),
+            (a, t) -> transform(array(array_min(filter(
+                transform(s, (x, i) -> named_struct(
+                    'due', ((a.k[i] + 1) * d + x.w - 1) div x.w, 'i', i, 'free', (a.k[i] * d) div x.w)),
+                c -> c.free <= t)).i),
+              b -> named_struct('k', transform(a.k, (k, i) -> if(i = b, k + 1, k)), 'picks', concat(a.picks, array(b))))[0])),
+          e -> named_struct('k', e.k, 'out', concat(acc.out, array(e.picks))))[0],
+        acc -> flatten(acc.out))"""
+    row = materialise(row.withColumn("picks", F.expr(picks)), "timetable")
+    taken = row.select(F.posexplode("picks").alias("t", "i")).groupBy("i").agg(F.sort_array(F.collect_list("t")).alias("slots"))
+    each = row.select("d", F.posexplode("s").alias("i", "x")).join(taken, "i").select("x.*", "d", "slots")
+    each = each.withColumn("length", F.max(F.expr("slots[cast(n_blocks - 1 as int)] + 1")).over(everything))
+    return each.withColumn("served", F.expr("size(filter(slots, t -> t < length))"))
+
+
 def mix(df: DataFrame, weights: dict[str, float] | None = None, repeat: bool = True, id_col: str = "doc_id",
         source_col: str = "source", size: Column | None = None, block_size: int = BLOCK_CHARS,
         quantum: int = QUANTUM, temperature: float = TEMPERATURE, buckets: int = BUCKETS) -> DataFrame:
@@ -70,7 +115,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, repeat: bool = T
 
     ``weights`` are target shares of the mixture by source; without them a
     source weighs its size to the power ``temperature``.  A source that is not
-    named, or has no positive weight, still gets one slot of each period: no
+    named, or has no positive weight, still gets one slot in ``quantum``: no
     row is dropped.  The mixture ends when each source has been used up once;
     with ``repeat`` the others start again meanwhile (``epoch`` 1, 2, ...), which
     is how the target is met.  Without it each row occurs once, and a source
@@ -102,22 +147,22 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, repeat: bool = T
     weight = F.pow(F.col("total"), F.lit(temperature))
     if weights is not None:
         named = F.create_map(*[F.lit(x) for name, w in weights.items() for x in (f"={name}", float(w))])
-        weight = F.greatest(F.coalesce(named[F.col("key")] if weights else F.lit(None), F.lit(0.0)), F.lit(1e-12))
-    plan = schedule(totals.select("key", weight.alias("weight"),
+        weight = named[F.col("key")] if weights else F.lit(None).cast("double")
+        weight = F.when(weight > 0, weight)
+    plan = timetable(totals.select("key", weight.alias("weight"),
                                   F.ceil(F.col("total") / block_size).cast("long").alias("n_blocks")), quantum)
     upto = Window.partitionBy("key", "bucket").orderBy("hash")
     placed = rows.join(sums.drop("here"), ["key", "bucket"]).withColumn(
         "start", F.col("before") + F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.withColumn("first", F.expr(f"start div {block_size}"))
-    # One row for each source, of which there are ``quantum`` at most; their slots are ``quantum`` numbers in all.
+    # One row for each source, of which there are ``quantum`` at most; their slots are a number for each block of the mixture.
     placed = placed.join(F.broadcast(plan), "key")
     times = F.expr("(served - first + n_blocks - 1) div n_blocks") if repeat else F.lit(1)
     placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
     placed = placed.withColumn("block", F.col("epoch") * F.col("n_blocks") + F.col("first"))
     return placed.select("row.*", F.struct(
-        F.expr(f"block div quota * {quantum} + slots[cast(block % quota as int)]").alias("slot"),
-        F.expr(f"block * {quantum} div quota").alias("release"),
-        F.expr(f"((block + 1) * {quantum} + quota - 1) div quota").alias("deadline"),
+        F.expr("slots[cast(block as int)]").cast("long").alias("slot"),
+        F.expr("block * d div w").alias("release"), F.expr("((block + 1) * d + w - 1) div w").alias("deadline"),
         "block", F.col("epoch").cast("int").alias("epoch"), "start").alias("mix"))
 
 

@@ -255,6 +255,18 @@ def test_schedule_is_earliest_deadline_first(spark):
     assert {k: [t for t, s in enumerate(order) if s == k] for k in rows} == {k: list(r.slots) for k, r in rows.items()}
 
 
+def test_deviation_from_weights_stays_below_a_block(spark):
+    weights = {f"s{i:02}": 1 / 3 if i == 0 else 2 / 57 for i in range(20)}
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.format_string("s%02d", F.col("id") % 20).alias("source"))
+    out = mixing.mix(df, weights, block_size=10, quantum=100)
+    served = {r.slot: r.source for r in out.select("mix.slot", "source").distinct().collect()}
+    assert len(served) > 80 * 100 and sorted(served) == list(range(len(served)))
+    seen = Counter()
+    for t in range(len(served)):
+        seen[served[t]] += 1
+        assert all(abs(seen[s] - w * (t + 1)) < 1 + 1e-4 for s, w in weights.items())
+
+
 def test_mixture_of_nothing(empty):
     assert mixing.mix(empty).count() == 0
     assert mixing.mixed_rows(empty).columns == empty.columns
