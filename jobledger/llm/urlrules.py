@@ -10,7 +10,6 @@ from jobledger.session import materialise
 SUPPORT = 0.01
 CONFIDENCE = 0.8
 TOKENS = 3
-SAMPLE = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,16 +53,17 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(rows: DataFrame, tokens: str, label: str, support: float = SUPPORT, confidence: float = CONFIDENCE,
-         most_tokens: int = TOKENS, sample: int = SAMPLE) -> DataFrame:
+         most_tokens: int = TOKENS) -> DataFrame:
     """Rules ``tokens -> label`` (``tokens, label, confidence, support``), mined by FP-growth.
 
-    At most ``sample`` labelled rows are mined, chosen by a hash.  ``support`` bounds
+    All labelled rows are mined: each task sums its own into prefix trees, so equal
+    baskets are one path.  ``support`` bounds
     the frequent combinations, and so the rules, whatever the input; rules
     below ``confidence`` go, and those of more than ``most_tokens`` tokens (a
     shorter rule covers the same URLs).
     """
     mark = "label:"
-    baskets = rows.where(F.col(label).isNotNull()).orderBy(F.xxhash64(tokens), tokens).limit(sample).select(
+    baskets = rows.where(F.col(label).isNotNull()).select(
         F.array_union(tokens, F.array(F.concat(F.lit(mark), label))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     target = F.element_at("consequent", 1)

@@ -373,6 +373,21 @@ def test_association_rules_and_index(spark):
             assert best[tuple(t)].label == max(fits)[3]
 
 
+def test_rules_count_every_labelled_row(spark):
+    n = 150_000
+    which = F.when(F.col("id") % 3 == 0, F.array(F.lit("a"))).when(F.col("id") % 3 == 1, F.array(F.lit("b"))).otherwise(F.array(F.lit("c")))
+    label = F.when((F.col("id") % 3 == 2) | (F.col("id") % 10 == 0), "block").otherwise("allow")
+    df = spark.range(2 * n).select(which.alias("tokens"), label.alias("label"))
+    rows = df.groupBy("tokens", "label").count().collect()
+    of = Counter()
+    for r in rows:
+        of[tuple(r.tokens)] += r["count"]
+    want = {(*r.tokens, r.label): (r["count"] / of[tuple(r.tokens)], r["count"] / (2 * n)) for r in rows}
+    got = {(*r.tokens, r.label): (r.confidence, r.support) for r in urlrules.mine(df, "tokens", "label").collect()}
+    assert got.keys() == {k for k, v in want.items() if v[0] >= 0.8} and len(got) == 3
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_queries(spark, name):
     df = QUERIES[name](spark, SF)
