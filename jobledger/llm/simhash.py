@@ -18,7 +18,8 @@ DISTANCE = 4
 SEGMENTS = (22, 21, 21)
 # For a similarity of 0.8: two words of fingerprint, since at that similarity some 15 % of the bits differ.
 WIDE_DISTANCE = 22
-WIDE_SEGMENTS = (16, 16, 16, 16)
+# Twelve segments in all: more than half the distance, so that no link is missed.
+WIDE_SEGMENTS = (11, 11, 11, 11, 10, 10)
 WIDE_WORDS = 2
 BUCKET = 4096
 PIVOTS = 4
@@ -167,9 +168,7 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, bits: tuple[int, ...
     more bit set (of two that differ in a bit, the one without it finds the
     other, so a pair meets once).  A match counts in its first close
     segment only, if the whole distance holds.  With more segments than half the
-    distance no link can be missed.  With fewer, a pair at ``distance`` is
-    missed if two bits or more differ in every segment: with 128 bits in eight
-    segments and 15 % of them different, in 7 % of the cases.
+    distance no link can be missed; fewer are refused.
 
     Near copies lie close together, and all pairs of a large group would be a
     square.  So the entries of a bucket are first compared with a few pivots
@@ -185,6 +184,8 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, bits: tuple[int, ...
     """
     if sum(bits) != 64:
         raise ValueError("segments must add up to 64 bits")
+    if 2 * len(bits) * words <= distance:
+        raise ValueError("more segments than half the distance are needed, or links are missed")
     names = _names(words)
     entries, lookups = [], []
     for s, (name, low, width) in enumerate(_segments(bits, names)):

@@ -90,6 +90,26 @@ def test_near_copies_at_the_usual_similarity(spark):
     assert len(kept) <= 40 + 4
 
 
+def test_wide_links_are_complete(spark):
+    draw, rows, pairs = np.random.default_rng(6), [], []
+    for k in range(300):
+        a = draw.integers(0, 2, 128)
+        b = a.copy()
+        if k % 2:
+            b[draw.choice(128, 20 + k % 3, replace=False)] ^= 1
+        else:  # two or three bits in each sixteen
+            for s in range(8):
+                b[16 * s + draw.choice(16, 3 if s < 6 else 2, replace=False)] ^= 1
+        for side, f in enumerate((a, b)):
+            rows.append((2 * k + side, *np.packbits(f).view(">i8").tolist()))
+        pairs.append((2 * k, 2 * k + 1))
+    prints = spark.createDataFrame(rows, "f long, w0 long, w1 long")
+    links = simhash.near_links(prints, simhash.WIDE_DISTANCE, simhash.WIDE_SEGMENTS, words=simhash.WIDE_WORDS)
+    assert {(min(r), max(r)) for r in links.collect()} == set(pairs)
+    with pytest.raises(ValueError):
+        simhash.near_links(prints, 22, (16, 16, 16, 16), words=2)
+
+
 @pytest.mark.parametrize("data", ["awkward", "empty"])
 def test_near_copies_of_awkward_rows(request, data):
     df = request.getfixturevalue(data)
