@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -9,8 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from jobledger.schema import REPORT_DDL  # noqa: E402
 from jobledger.session import get_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -22,25 +19,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def step(name, site=None, errors=(), output=(), cpu=None, storage=None):
-    performance = None
-    if cpu is not None or storage is not None:
-        performance = {"cpu": cpu or {}, "storage": storage or {}, "memory": {}}
-    return {
-        "name": name, "site": site, "errors": [{"exitCode": c} for c in errors],
-        "output": [dict(o) for o in output], "performance": performance,
-    }
-
-
-def report(rid, *steps, task="/wf/a/T", ts="2017-01-31 13:20:00", lfns=(), jobtype="Processing", state="success", **meta):
-    when = dt.datetime.fromisoformat(ts).replace(tzinfo=dt.timezone.utc)
-    return {
-        "report_id": rid, "ingest_ts": 1.0, "stage": "hot", "kind": "fwjr", "task": task, "campaign": None, "prep_id": None,
-        "meta": {"jobtype": jobtype, "jobstate": state, "host": "h", "ts": int(when.timestamp()), **meta},
-        "lfns": list(lfns), "steps": list(steps), "year": when.year, "month": when.month, "day": when.day,
-    }
-
-
 @pytest.fixture
 def make(spark, tmp_path):
     """Hand-written reports as a DataFrame of the model's schema."""

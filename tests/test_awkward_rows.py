@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import report, step
+from reports import report, step
 from jobledger.operators import extract, jobs, search
 from jobledger.sources import sinks
 from jobledger.sources.reports import by_ids, read_documents

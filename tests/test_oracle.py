@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry_module  # noqa: E402
-from conftest import SF  # noqa: E402
+from reports import SF  # noqa: E402
 
 QUERIES, CHECKS = entry_module.queries(), entry_module.oracle_sql()
 TABLES = [p.stem for p in Path(SF).glob("*.parquet")]

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest import SF
+from reports import SF
 from jobledger.functions import nested
 from jobledger.operators import cube, extract, search
 from jobledger.operators.rollup import rollup

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import report, step
+from reports import report, step
 from jobledger.functions import nested, scalar
 from jobledger.operators import cube, extract, search, stats
 from jobledger.operators.rollup import coarsen, merge_rollups, rollup

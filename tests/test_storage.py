@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF, report, step
+from reports import SF, report, step
 from jobledger.operators import jobs, lifecycle, quality, stats
 from jobledger.operators.rollup import rollup
 from jobledger.plans.q_quality import DOCUMENT_SCHEMA
