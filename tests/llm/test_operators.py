@@ -1,7 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
-import brute
+import llm_brute as brute
 import numpy as np
 import public_tokenizers
 import pytest
