@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobledger.llm import exact, mixing, packing, pii, quality, sharding, simhash, tokens, toxicity, urlrules
-from jobledger.llm.common import read
+from jobledger.llm import exact, mixing, packing, periodic, pii, quality, sharding, simhash, tokens, toxicity, urlrules
+from jobledger.llm.common import let, read, text_of, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -86,8 +86,37 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(pages, LISTS).drop("url")
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Documents whose checksum is divisible by ten repeat a stretch of their words from a word on, as the contract has it."""
+    h, n = F.crc32(F.col("doc_id").cast("string")), F.size("w")
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+
+    def filled(w: Column, a: Column, p: Column) -> Column:
+        place = F.sequence(F.lit(0), F.size(w) - 1)
+        return F.array_join(F.transform(place, lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    docs = docs.withColumn("w", F.when(h % 10 == 0, words(text_of())))
+    periodic_text = let(F.struct(F.col("w").alias("w"), a.alias("a"), p.alias("p")), lambda x: filled(x["w"], x["a"], x["p"]))
+    return docs.select("doc_id", F.when(n > 0, periodic_text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's longest periodic run, and digests of all runs and of the text without their repetitions."""
+    rows = periodic.periodic_runs(_with_periods(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    length, period = F.col("longest.length"), -F.col("longest.p")
+    return rows.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.s")).alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing, op2_simhash, op3_pii, op4_exact, op5_toxicity, op6_sharding, op7_quality, op8_packing, op9_tokens, op10_urls)}
+    op1_mixing, op2_simhash, op3_pii, op4_exact, op5_toxicity, op6_sharding, op7_quality, op8_packing, op9_tokens, op10_urls,
+    op13_runs)}
 
 CHECKS: dict[str, str] = {
     "op4_exact": r"""

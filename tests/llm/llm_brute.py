@@ -125,3 +125,35 @@ def schedule(quotas, period):
         done[s] += 1
         out.append(s)
     return out
+
+
+def with_periods(doc_id, text):
+    """The words of a document, repeated from a word on where the contract of op13 says so."""
+    w = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not w:
+        return w
+    n, g = len(w), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def runs(w, least=6, exponent=4):
+    """(start, length, period) of every run, period by period."""
+    smallest = {}
+    for q in range(1, len(w) // exponent + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j - i >= q:
+                smallest.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((i, j - i, q) for (i, j), q in smallest.items() if j - i >= max(least, exponent * q))
+
+
+def collapse(w, found):
+    gone = {i for start, length, period in found for i in range(start + period, start + length)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
