@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobledger.llm import exact, mixing, packing, periodic, pii, quality, sharding, simhash, tokens, toxicity, urlrules
+from jobledger.llm import exact, mixing, packing, periodic, pii, quality, sharding, simhash, tokens, toxicity, urlrules, whitening
 from jobledger.llm.common import let, read, text_of, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(pages, LISTS).drop("url")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the eight leading components, with the figures of the fit."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """Documents whose checksum is divisible by ten repeat a stretch of their words from a word on, as the contract has it."""
     h, n = F.crc32(F.col("doc_id").cast("string")), F.size("w")
@@ -116,7 +121,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mixing, op2_simhash, op3_pii, op4_exact, op5_toxicity, op6_sharding, op7_quality, op8_packing, op9_tokens, op10_urls,
-    op13_runs)}
+    op12_whitening, op13_runs)}
 
 CHECKS: dict[str, str] = {
     "op4_exact": r"""

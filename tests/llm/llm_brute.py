@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -157,3 +158,15 @@ def runs(w, least=6, exponent=4):
 def collapse(w, found):
     gone = {i for start, length, period in found for i in range(start + period, start + length)}
     return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def whitening(vectors, k=8):
+    """n, deviations, values, whitened (rows by components, up to sign) and trace of the usable vectors."""
+    x = [[math.floor(1024 * c) + 100_000 for c in v] for v in vectors]
+    n, sums = len(x), [sum(c) for c in zip(*x, strict=True)]
+    deviations = [sum((n * a - s) ** 2 for a, s in zip(v, sums, strict=True)) for v in x]
+    centred = np.array([[(n * a - s) / n for a, s in zip(v, sums, strict=True)] for v in x])
+    covariance = centred.T @ centred / n
+    e, u = np.linalg.eigh(covariance)
+    e, u = e[::-1][:k], u[:, ::-1][:, :k]
+    return n, deviations, e, centred @ u / np.sqrt(e), float(np.trace(covariance))

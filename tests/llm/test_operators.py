@@ -411,7 +411,7 @@ def test_rules_count_every_labelled_row(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_queries(spark, name):
     df = QUERIES[name](spark, SF)
-    table = "pages" if name.startswith("op10") else "documents"
+    table = {"op10": "pages", "op12": "embeddings"}.get(name.split("_")[0], "documents")
     assert df.count() >= spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
