@@ -52,3 +52,14 @@ def without(df: DataFrame, lost: DataFrame, keys: list[str]) -> DataFrame:
     combined before it.
     """
     return df.dropDuplicates(keys).join(lost.select(*keys), keys, "left_anti").drop(*keys)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, share: int = 1_000) -> DataFrame:
+    """Inner join where ``right`` has one row per key and ``n`` is the number of rows ``left`` has for it.
+
+    Keys with more than a thousandth of all counted rows are fewer than a thousand:
+    they are broadcast, so none of them fills a task.  All others meet in a shuffle.
+    """
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).first().total
+    hot = F.col(n) * share > total
+    return left.join(F.broadcast(right.where(hot)), key).unionByName(left.join(right.where(~hot), key))

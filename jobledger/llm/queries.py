@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobledger.llm import exact, mixing, packing, periodic, pii, quality, sharding, simhash, tokens, toxicity, urlrules, whitening
+from jobledger.llm import exact, mixing, packing, periodic, pii, quality, sharding, simhash, substring, tokens, toxicity, urlrules, whitening
 from jobledger.llm.common import let, read, text_of, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,13 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(pages, LISTS).drop("url")
 
 
+def op11_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words, how many of them an earlier one has in 13 or more together, and a digest of the rest."""
+    rows = substring.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable embedding on the eight leading components, with the figures of the fit."""
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
@@ -121,7 +128,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mixing, op2_simhash, op3_pii, op4_exact, op5_toxicity, op6_sharding, op7_quality, op8_packing, op9_tokens, op10_urls,
-    op12_whitening, op13_runs)}
+    op11_substring, op12_whitening, op13_runs)}
 
 CHECKS: dict[str, str] = {
     "op4_exact": r"""

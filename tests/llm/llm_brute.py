@@ -170,3 +170,22 @@ def whitening(vectors, k=8):
     e, u = np.linalg.eigh(covariance)
     e, u = e[::-1][:k], u[:, ::-1][:, :k]
     return n, deviations, e, centred @ u / np.sqrt(e), float(np.trace(covariance))
+
+
+def without_repeats(rows, window=13):
+    """doc_id, text -> for each row (doc_id, n_words, removed spans, kept text)."""
+    last = float("inf")
+    own = [(last if i is None else i, i, WORD.findall(t or "")) for i, t in rows]
+    first = {}
+    for o, _, w in own:
+        for s in range(len(w) - window + 1):
+            key = tuple(w[s:s + window])
+            first[key] = min(first.get(key, last), o)
+    for o, i, w in own:
+        gone = [False] * len(w)
+        for s in range(len(w) - window + 1):
+            if first[tuple(w[s:s + window])] < o:
+                gone[s:s + window] = [True] * window
+        marked = "".join("x" if g else "." for g in gone)
+        spans = [m.span() for m in re.finditer("x+", marked)]
+        yield i, len(w), spans, " ".join(x for x, g in zip(w, gone, strict=True) if not g)
