@@ -70,6 +70,15 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the keys, and begin of each group of rows that agree in all of them."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
 def _elsewhere(o: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Keys that spread rows which need no partner any more."""
     with np.errstate(over="ignore"):
@@ -100,17 +109,17 @@ def _seed_rows(window: int, seed: int):
                 text, h, _, _ = seeds(word_hashes(own), offsets[low:high + 1] - offsets[low], window, seed)
                 found.append((text + low, h.view(np.int64)))
             text, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            first = np.searchsorted(text, np.arange(batch.num_rows))
-            at = np.arange(len(text)) - first[text]
+            at = np.arange(len(text)) - np.searchsorted(text, np.arange(batch.num_rows))[text]
+            # Of a seed that a text has several times the first one speaks for all.
+            order, begin = _runs(h, text)
+            text, h, at = (x[order[begin]] for x in (text, h, at))
             o, t = _long(batch, 0)[text], _long(batch, 1)[text]
             # A seed that two texts of this batch share needs no more proof: two of its rows tell the others, the rest go elsewhere.
-            order, begin, group = _groups(h, text)
-            end = np.append(begin[1:], len(h))[:len(begin)] - 1
-            known = np.zeros(len(h), bool)
-            known[order] = (text[order[begin]] != text[order[end]])[group]
-            tells = np.zeros(len(h), bool)
-            tells[order[begin]] = tells[order[end]] = True
-            key = np.where(known & ~tells, _elsewhere(o, at), h)
+            _, begin, group = _groups(h, text)
+            size = np.diff(np.append(begin, len(h)))
+            known = (size > 1)[group]
+            place = np.arange(len(h)) - begin[group]
+            key = np.where(place > 1, _elsewhere(o, at), h)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(o), pa.array(t), pa.array(at), pa.array(known)], ["k", "o", "t", "at", "known"])
 
     return run
@@ -130,7 +139,13 @@ def _unit_rows(window: int, seed: int):
                 first = np.searchsorted(text, np.arange(high - low + 1))
                 lists = batch.column(3).slice(low, high - low)
                 taken = np.asarray(lists.flatten(), dtype=np.int64) + np.repeat(first[:-1], np.asarray(pc.list_value_length(lists)))
-                taken.sort()
+                # All seeds of a text that are equal to a listed one.
+                order, begin = _runs(text, h)
+                group = np.empty(len(text), np.int64)
+                group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(text))))
+                listed = np.zeros(len(begin), bool)
+                listed[group[taken]] = True
+                taken = np.flatnonzero(listed[group])
                 text, h, from_, to = text[taken], h[taken], from_[taken], to[taken]
                 size = to - from_ + 1
                 begin = np.cumsum(size) - size
@@ -142,15 +157,19 @@ def _unit_rows(window: int, seed: int):
             text, h, from_, size, w = (np.concatenate(x) for x in zip(*parts, strict=True))
             o, t = _long(batch, 0)[text], _long(batch, 1)[text]
             begin = np.cumsum(size) - size
-            # First and last window name all words between; of equal stretches the first id's are compared, the others' are repeats.
+            # First and last window name all words between; equal stretches of one text make one row with all their places.
             stretch = w[begin] * FACTOR ^ w[begin + size - 1] + size.astype(np.uint64)
-            order, start, group = _groups(stretch, o)
-            repeat = np.zeros(len(h), bool)
-            repeat[order] = o[order] > o[order[start]][group]
-            key = np.where(repeat, _elsewhere(o, from_), h)
+            order, first = _runs(stretch, o, t)
+            rows = order[first]
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(from_[order]))
+            # Of equal stretches the first id's are compared; those of larger ids are repeats.
+            _, start, group = _groups(stretch[rows], o[rows])
+            repeat = o[rows] > o[rows][start][group]
+            key = np.where(repeat, _elsewhere(o[rows], from_[rows]), h[rows])
             lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(w)).astype(np.int32)), pa.array(w.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(o), pa.array(t), pa.array(from_), lists, pa.array(repeat)], ["k", "o", "t", "from", "w", "repeat"])
+                [pa.array(key), pa.array(o[rows]), pa.array(t[rows]), places, lists.take(pa.array(rows)), pa.array(repeat)],
+                ["k", "o", "t", "from", "w", "repeat"])
 
     return run
 
@@ -164,7 +183,7 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, o, t, from_ = (_long(batch, c) for c in range(4))
+        k, o, t = (_long(batch, c) for c in range(3))
         size = np.asarray(pc.list_value_length(batch.column(4))).astype(np.int64)
         w = np.asarray(batch.column(4).flatten(), dtype=np.int64)
         own = np.repeat(np.arange(len(k)), size)
@@ -179,9 +198,15 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         of_last = np.concatenate([np.full(len(held_w), k[0] == k[-1]), k[own[open_]] == k[-1]])
         keep = np.unique(of[of_last])
         key, held_w, held_o = k[-1], distinct[keep], every_o[first[keep]]
-        begin = np.cumsum(size) - size
-        place = from_[own] + np.arange(len(own)) - begin[own]
-        yield pa.RecordBatch.from_arrays([pa.array(o[own][hit]), pa.array(t[own][hit]), pa.array(place[hit])], ["o", "t", "at"])
+        inside = np.arange(len(own)) - (np.cumsum(size) - size)[own]
+        rows, shift = own[hit], inside[hit]
+        places = np.asarray(batch.column(3).flatten(), dtype=np.int64)
+        often = np.asarray(pc.list_value_length(batch.column(3))).astype(np.int64)
+        # Each hit at each place of its stretch.
+        of_hit = np.repeat(np.arange(len(rows)), often[rows])
+        nth = np.arange(len(of_hit)) - (np.cumsum(often[rows]) - often[rows])[of_hit]
+        at = places[(np.cumsum(often) - often)[rows][of_hit] + nth] + shift[of_hit]
+        yield pa.RecordBatch.from_arrays([pa.array(o[rows][of_hit]), pa.array(t[rows][of_hit]), pa.array(at)], ["o", "t", "at"])
 
 
 def _with_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -195,7 +220,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     1. Texts with the same words as one of a smaller id are copies: found by a digest, nothing else of them is needed.
     2. Seeds of all others meet by their hash.  A batch reports a seed that several of its texts share as known
-       and sends two rows of it, so a passage in a third of all texts sends two rows a batch.
+       and sends two rows of it, so a passage in a third of all texts sends two rows a batch; a seed that a text repeats is one row.
     3. Around shared seeds the matches are extended both ways, over all windows that a seed stands for: their hashes meet by seed, sorted by id.
        What equals a stretch of a smaller id in the same batch is told at once and takes no part.
     """
@@ -212,7 +237,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         lists = materialise(lists.join(copies, ["o", "t"], "left_anti"), "seeds")
 
         near = rows.join(lists, ["o", "t"]).select("o", "t", "text", "ats")
-        units = near.mapInArrow(_unit_rows(window, seed), "k long, o long, t long, from long, w array<long>, repeat boolean")
+        units = near.mapInArrow(_unit_rows(window, seed), "k long, o long, t long, from array<long>, w array<long>, repeat boolean")
         units = units.repartition("k").sortWithinPartitions("k", "o")
         hits = units.mapInArrow(_repeated_windows, "o long, t long, at long").groupBy("o", "t").agg(F.collect_set("at").alias("at"))
         hits = materialise(hits, "repeats")

@@ -73,6 +73,17 @@ def test_a_batch_sends_two_rows_of_a_seed_that_many_share():
     assert len(shared) >= 50 and hot.iloc[0] == 2 and (hot > 2).sum() == 0
 
 
+def test_a_text_that_repeats_itself_sends_one_row_a_stretch():
+    text = " ".join(["a b"] * 500)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([10, 20]), pa.array([text + " end", text])], ["o", "t", "text"])
+    out = next(substring._seed_rows(13, 5)(iter([batch]))).to_pandas()
+    assert len(out) <= 8 and out.known.sum() >= 2
+    lists = [out["at"][(out.o == o) & out.known].tolist() for o in (1, 2)]
+    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists)], ["o", "t", "text", "ats"])
+    units = next(substring._unit_rows(13, 5)(iter([batch]))).to_pandas()
+    assert len(units) <= 8 and max(map(len, units["from"])) > 400
+
+
 def test_every_window_has_a_seed_and_equal_windows_have_equal_ones():
     draw = np.random.default_rng(3)
     w = draw.integers(0, 4, 300)
