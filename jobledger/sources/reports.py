@@ -166,8 +166,3 @@ def verify(df: DataFrame, *names: str) -> DataFrame:
     """Documents whose content no longer gives their id."""
     return df.where(document_id(*names) != F.col("report_id"))
 
-
-def infer_schema(documents: DataFrame, column: str = "doc") -> DataFrame:
-    """One row: the schema that fits all JSON documents, merged across them."""
-    return documents.agg(
-        F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("document_schema"))

@@ -13,7 +13,7 @@ from jobledger.plans.q_quality import DOCUMENT_SCHEMA
 from jobledger.session import shared_dir
 from jobledger.sources import sinks
 from jobledger.sources.archive import archive, stream_archive
-from jobledger.sources.reports import infer_schema, read_reports, steps_from_map
+from jobledger.sources.reports import read_reports, steps_from_map
 from jobledger.sources.tables import raw_documents, table
 from jobledger.streaming.ingest import enrich, ingest_stream, migrate
 from jobledger.streaming.live import live_rollup, read_live, write_live
@@ -126,11 +126,6 @@ def test_text_that_is_no_json(spark):
     assert [r.path for r in quality.error_rows(checked).collect()] == ["/", "/"]
 
 
-def test_schema_is_merged_over_documents(spark):
-    df = spark.createDataFrame([('{"a": 1}',), ('{"a": 2, "b": ["x"]}',)], "doc string")
-    assert infer_schema(df).first().document_schema == "OBJECT<a: BIGINT, b: ARRAY<STRING>>"
-
-
 def test_map_shaped_steps(spark):
     df = spark.sql("select map('b', named_struct('name', '', 'site', 'y'), 'a', named_struct('name', '', 'site', 'x')) as steps")
     assert [tuple(s) for s in df.select(steps_from_map(F.col("steps")).alias("s")).first().s] == [("a", "x"), ("b", "y")]
