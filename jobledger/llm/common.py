@@ -61,5 +61,6 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, share: int = 1
     they are broadcast, so none of them fills a task.  All others meet in a shuffle.
     """
     total = right.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).first().total
-    hot = F.col(n) * share > total
-    return left.join(F.broadcast(right.where(hot)), key).unionByName(left.join(right.where(~hot), key))
+    hot = F.broadcast(right.where(F.col(n) * share > total))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(n) * share <= total), key)
+    return left.join(hot, key).unionByName(rest)
