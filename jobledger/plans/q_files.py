@@ -162,9 +162,9 @@ ONCE_BY_TYPE = """SELECT jobtype, count(*) AS n, CAST(sum(wall_s) AS BIGINT) AS
 def append_new(spark, sf):
     path = new_dir(spark, "appended")
     rows = envelope(spark, sf)
-    sinks.append_new(rows.where("meta.jobstate = 'success'"), path)
-    sinks.append_new(rows.unionByName(rows), path)
-    sinks.append_new(rows, path)
+    sinks.append_new(rows.where("meta.jobstate = 'success'"), path, replayable=True)
+    sinks.append_new(rows.unionByName(rows), path, replayable=True)
+    sinks.append_new(rows, path, replayable=True)
     return by_type(spark.read.parquet(path))
 
 

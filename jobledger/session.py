@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -74,8 +75,48 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+_STAGED: list[list[str]] = []
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write a result to the shared folder and read it back: short lineage that outlives executors."""
     path = new_dir(df.sparkSession, label)
+    if _STAGED:
+        _STAGED[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at a path, or None before its first write."""
+    if not exists(spark, path):
+        return None
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # a folder without files
+            return None
+        raise
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of whatever file system holds it; one that is not there is no error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end: for work whose result is written elsewhere."""
+    _STAGED.append([])
+    try:
+        yield
+    finally:
+        for path in _STAGED.pop():
+            delete_path(spark, path)

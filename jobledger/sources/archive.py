@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from jobledger.operators.lineage import Lineage, read_lineage, store_lineage
 from jobledger.operators.rollup import rollup
 from jobledger.schema import REPORT_DDL
 from jobledger.session import new_dir, settings
@@ -69,6 +70,16 @@ def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_lineage(spark: SparkSession, sf_dir: str) -> Lineage:
+    """The edges of all reports, written once per session."""
+    reports = full_archive(spark, sf_dir)
+    path = f"{_ROOTS[(spark.sparkContext.applicationId, sf_dir)]}-lineage"
+    if path not in _WRITTEN:
+        store_lineage(reports, path)
+        _WRITTEN.add(path)
+    return read_lineage(spark, path)
+
+
 def stream_archive(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """Processing reports as a stream of arriving files."""
     reader = spark.readStream.schema(REPORT_DDL)

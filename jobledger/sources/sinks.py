@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 
 from jobledger.schema import PARTITION_COLUMNS
-from jobledger.session import materialise
+from jobledger.session import materialise, read_or_none, settings, staging
+from jobledger.sources import idindex
 
 # Fixed value: documents above 10 MB are not published.
 MAX_DOCUMENT_BYTES = 10 * 1024 * 1024
@@ -18,16 +19,6 @@ MAX_DOCUMENT_BYTES = 10 * 1024 * 1024
 SITE_TIERS = ["T1_", "T2_", "T3_"]
 
 
-def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """The table at a path, or None before its first write."""
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append", n: int | None = None,
           max_records: int | None = None, compression: str | None = None,
           partition_by: list[str] | None = None) -> None:
@@ -55,17 +46,75 @@ def new_rows(df: DataFrame, target: DataFrame | None, key: str) -> DataFrame:
     return keyed.unionByName(df.where(F.col(key).isNull()))
 
 
-def append_new(df: DataFrame, path: str, key: str = "report_id",
-               partition_by: list[str] | None = None) -> None:
+@dataclass(frozen=True)
+class Append:
+    """What an append will do: rows that arrived, ids among them that are new, and the rows to write."""
+
+    arrived: int
+    new: int
+    rows: DataFrame | None
+
+
+# An id table of up to this measured size is sent to the documents, so that these stay where they are.
+SENT_IDS = "64m"
+
+
+def plan_append(df: DataFrame, path: str, key: str = "report_id", order: tuple[str, ...] = ("ingest_ts",)) -> Append:
+    """The rows of a batch whose id the table at ``path`` does not have, one per id.
+
+    Ids are compared with the index beside the table (``idindex``), and only ids,
+    hashes and row numbers are shuffled for it, never documents.  Of rows with one id the earliest by
+    ``order`` (the columns the batch has) counts, then the one with the smallest hash, then the first.  Rows
+    without an id are no copies of each other: all are new.  The batch must come out in the same
+    order each time it is read, as written tables do.
+    """
+    spark = df.sparkSession
+    index = idindex.refresh(spark, path, key)
+    ids = df.groupBy(key).agg(F.count("*").alias("n"))
+    if index is None:
+        ids = ids.withColumn("known", F.lit(False))
+    else:
+        ids = materialise(ids, "ids")
+        there = idindex.stored(index, ids.where(F.col(key).isNotNull()).select(key))
+        there = there.select(F.col("id").cast(ids.schema[key].dataType).alias(key), F.lit(True).alias("known"))
+        ids = ids.join(there, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    ids = materialise(ids, "ids")
+    several = F.col(key).isNotNull() & (F.col("n") > 1) & ~F.col("known")
+    new = F.when(F.col("known"), 0).when(several, 1).otherwise(F.col("n"))
+    told = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("arrived"), F.coalesce(F.sum(new), F.lit(0)).alias("new"),
+                   F.count_if("known").alias("known"), F.count_if(several).alias("several")).first()
+    if not told.new:
+        return Append(told.arrived, 0, None)
+    row = "_row_in_batch"
+    rows = df.withColumn(row, F.monotonically_increasing_id())
+    if told.several:
+        place = F.struct(*[F.col(c) for c in order if c in df.columns], F.xxhash64(*df.columns), F.col(row).alias("at"))
+        with settings(spark, spark__sql__legacy__allowHashOnMapType="true"):
+            contested = rows.select(key, place.alias("place")).join(ids.where(several).select(key), key, "left_semi")
+            contested = materialise(contested, "contested")
+        first = contested.groupBy(key).agg(F.min("place").alias("first")).select(F.col("first.at").alias(row))
+        lost = contested.select(F.col("place.at").alias(row)).join(first, row, "left_anti")
+        rows = rows.join(materialise(lost, "lost"), row, "left_anti")
+    if told.known:
+        rows = rows.join(ids.where("known").select(key), key, "left_anti")
+    return Append(told.arrived, told.new, rows.select(*df.columns))
+
+
+def append_new(df: DataFrame, path: str, key: str = "report_id", partition_by: list[str] | None = None,
+               replayable: bool = False) -> Append:
     """Append documents whose id is not stored yet, wherever it is stored.
 
-    The id column of the whole target is read, because a report that is sent
-    again may carry another date; nothing else of it is.  The batch is staged
-    first, so that it is computed once although it is read twice.
+    The batch is staged first, so that it is computed once although it is read
+    several times; ``replayable`` says that it comes out the same each time, in the same order, as files do, and
+    saves that copy.  Staged tables are deleted at the end.
     """
-    target = read_or_none(df.sparkSession, path)
-    batch = df if target is None else materialise(df, "batch")
-    write(new_rows(batch, target, key), path, partition_by=partition_by)
+    spark = df.sparkSession
+    with staging(spark), settings(spark, spark__sql__adaptive__autoBroadcastJoinThreshold=SENT_IDS):
+        batch = df if replayable else materialise(df, "batch")
+        plan = plan_append(batch, path, key)
+        if plan.rows is not None:
+            write(plan.rows, path, partition_by=partition_by)
+    return plan
 
 
 def upsert_rollup(df: DataFrame, path: str) -> None:
