@@ -52,7 +52,10 @@ def failures(df: DataFrame, spec: dict | None = None) -> DataFrame:
 
 
 def flatten_errors(df: DataFrame) -> DataFrame:
-    """One row per step error that has a code, or one per step without; steps need a site."""
+    """One row per step error that has a code, or one per step without; steps need a site.
+
+    The code is 0 where a step has none; a code that is no number is null: a failure, but not known which.
+    """
     steps = df.select("task", "campaign", F.explode(steps_of("site", "errors")).alias("s")) \
               .where(F.col("s.site").isNotNull())
     codes = F.filter(F.col("s.errors.exitCode"), lambda c: c.isNotNull())
@@ -61,7 +64,7 @@ def flatten_errors(df: DataFrame) -> DataFrame:
         F.col("s.site").alias("site"), F.lit("").alias("dataset"),
         F.explode_outer(codes).alias("code"),
     ).select("task", "campaign", "site", "dataset",
-             F.coalesce(F.col("code").try_cast("int"), F.lit(0)).alias("exitCode"))
+             F.when(F.col("code").isNull(), 0).otherwise(F.col("code").try_cast("int")).alias("exitCode"))
 
 
 def flatten_outputs(df: DataFrame, attrs: list[str] | None = None) -> DataFrame:

@@ -98,7 +98,3 @@ def coarsen(df: DataFrame, source: str, target: str) -> DataFrame:
     sums = wider.groupBy("start_date", *SCOPE_KEYS).agg(*[F.sum(c).alias(c) for c in measure_columns(df)])
     return _closed(sums, target)
 
-
-def aggregate_range(df: DataFrame, precision: str = "day", **options) -> DataFrame:
-    """Roll-up of all selected days in one job: the day is a key, not a loop."""
-    return rollup(df, precision, **options)

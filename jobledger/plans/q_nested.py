@@ -8,6 +8,7 @@ from jobledger.functions import nested
 from jobledger.functions.scalar import step_kind, valid_exit_code
 from jobledger.operators import extract
 from jobledger.plans.registry import query
+from jobledger.sources.sinks import route
 from jobledger.sources.archive import archive
 
 _NAME = """CASE i WHEN 0 THEN concat('/store/in/', pk, '.root') WHEN 1 THEN concat('/store/unmerged/', ok, '/', ln, '.root')
@@ -97,15 +98,46 @@ def failures(spark, sf):
     return extract.failures(archive(spark, sf), {"outputDataset": "/ds1.*RECO"})
 
 
-@query("n12_flatten_errors", """
-  SELECT s.path AS task, coalesce(s.campaign, '') AS campaign, s.site, '' AS dataset,
-    CAST(coalesce(e.code, '0') AS INTEGER) AS "exitCode"
-  FROM steps s LEFT JOIN (SELECT report_id, name, code FROM errors WHERE code IS NOT NULL) e USING (report_id, name)
-  WHERE s.site IS NOT NULL""")
+# Codes of each step straight from the tables: none is 0.
+_FLAT_ERRORS = """
+  , flat AS (
+    SELECT path AS task, coalesce(campaign, '') AS campaign, '' AS dataset,
+      CASE WHEN name = 'stageOut1' AND pk % 11 = 0 THEN NULL WHEN name = 'cmsRun1' AND pk % 22 = 0 THEN NULL ELSE site0 END AS site,
+      unnest(CASE WHEN NOT failed THEN [0] WHEN name = 'stageOut1' AND sk % 3 = 0 THEN [99999]
+        WHEN name = 'cmsRun1' AND sk % 3 = 0 AND pk % 5 = 0 THEN [8000 + pk % 12, 8501] WHEN name = 'cmsRun1' AND sk % 3 = 1 THEN [99999]
+        WHEN name = 'cmsRun1' THEN [8000 + pk % 12] ELSE [0] END) AS code
+    FROM reports, (VALUES ('stageOut1'), ('cmsRun1'), ('cmsRun2'), ('logArch1')) s(name)
+    WHERE pk % 50 <> 7 AND (name <> 'cmsRun2' OR q > 40))"""
+
+
+@query("n12_flatten_errors", _FLAT_ERRORS + """
+  SELECT task, campaign, site, dataset, CAST(code AS INTEGER) AS "exitCode" FROM flat WHERE site IS NOT NULL""")
 def flat_errors(spark, sf):
     return extract.flatten_errors(archive(spark, sf))
 
 
+def _with_text_codes(df):
+    """Reports whose code 8003 is the text None, and 99999 a text that is no number."""
+    known = F.create_map(*[F.lit(x) for x in ("8003", "None", "99999", "unknown")])
+    errors = lambda s: F.transform(s["errors"], lambda e: e.withField(
+        "exitCode", F.coalesce(F.try_element_at(known, e["exitCode"]), e["exitCode"])))
+    return df.withColumn("steps", F.transform("steps", lambda s: s.withField("errors", errors(s))))
+
+
+@query("n12_text_codes", _FLAT_ERRORS + """
+  SELECT CAST(CASE WHEN code NOT IN (8003, 99999) THEN code END AS INTEGER) AS "exitCode", count(*) AS n FROM flat WHERE site IS NOT NULL GROUP BY ALL""")
+def text_codes(spark, sf):
+    return extract.flatten_errors(_with_text_codes(archive(spark, sf))).groupBy("exitCode").agg(F.count("*").alias("n"))
+
+
+@query("k12_route_text_codes", _FLAT_ERRORS + """
+  SELECT 'jobs.exitCode' AS topic, count(*) AS n FROM flat WHERE site IS NOT NULL AND code > 0
+  UNION ALL SELECT 'jobs.all', count(*) FROM flat WHERE site IS NOT NULL""")
+def route_text_codes(spark, sf):
+    rows = route(extract.flatten_errors(_with_text_codes(archive(spark, sf))), ["jobs.exitCode", "jobs.all"], "jobs.all")
+    return rows.groupBy("topic").agg(F.count("*").alias("n"))
+
+
 @query("n13_flatten_outputs", """
   SELECT o.path AS task, coalesce(o.campaign, 'NA') AS campaign, o.site, coalesce(o.dataset, 'NA') AS dataset,
     e.code AS "exitCode"

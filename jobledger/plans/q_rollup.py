@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from jobledger.functions.nested import split_task
 from jobledger.operators.cube import metric_by
 from jobledger.operators.lifecycle import age_rollup, expire_rollup
+from jobledger.operators.maintain import SKETCHED, aggregate_range, day_sketches, range_stats
 from jobledger.operators.ranking import top_labels
-from jobledger.operators.rollup import aggregate_range, coarsen, merge_rollups, rollup, with_hash
+from jobledger.operators.rollup import coarsen, merge_rollups, rollup, with_hash
 from jobledger.plans.oracle import KEYS, sums
 from jobledger.plans.registry import query
 from jobledger.schema import ROLLUP_KEYS, SCOPE_KEYS, TREE_METRICS
-from jobledger.sources.archive import archive
+from jobledger.session import materialise, new_dir
+from jobledger.sources.archive import LAYOUT, archive
+from jobledger.sources.reports import prune
 
 
 # Metrics whose sums over steps the check spells out.
@@ -113,15 +119,59 @@ def merged(spark, sf):
     return _show(merge_rollups(good, rest))
 
 
+def _maintained(spark, sf):
+    """A stored roll-up after three runs: of part of the archive, of all of it, and of a range in which nothing changed."""
+    source, target = new_dir(spark, "source"), new_dir(spark, "target")
+    reports = archive(spark, sf).drop("day").withColumn("day", F.dayofmonth(F.timestamp_seconds("meta.ts")))
+    write = lambda df: df.write.mode("append").partitionBy(*LAYOUT).parquet(source)
+    late = (F.col("meta.jobtype") == "Cleanup") & (F.col("year") == 1997) & F.col("month").isin(3, 4)
+    whole = (dt.date(1990, 1, 1), dt.date(2010, 12, 31))
+    write(reports.where(~late))
+    runs = [aggregate_range(spark, source, target, *whole, by=LAYOUT, metrics=[])]
+    write(reports.where(late))
+    # The first of these runs looks at one of the two months that changed only.
+    runs.append(aggregate_range(spark, source, target, dt.date(1997, 4, 1), dt.date(1997, 12, 31), by=LAYOUT, metrics=[]))
+    runs.append(aggregate_range(spark, source, target, *whole, by=LAYOUT, metrics=[]))
+    runs.append(aggregate_range(spark, source, target, *whole, by=LAYOUT, metrics=[]))
+    return target, runs
+
+
 @query("a21_aggregate_range", f"""
   SELECT strftime(start_date, '%Y-%m-%d') AS day, count(*) AS rows, CAST(sum(count) AS BIGINT) AS jobs,
     CAST(sum(events_sum) AS BIGINT) AS events FROM roll GROUP BY ALL""")
 def every_day(spark, sf):
-    rows = aggregate_range(archive(spark, sf), "day", metrics=[])
+    rows = spark.read.parquet(f"{_maintained(spark, sf)[0]}/rows")
     return rows.groupBy(F.date_format("start_date", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("rows"), F.sum("count").alias("jobs"), F.sum("events_sum").alias("events"))
 
 
+@query("a21_partitions_read", """
+  , months AS (SELECT count(DISTINCT (year(ship_day), month(ship_day))) AS n FROM reports),
+  late AS (SELECT DISTINCT month(ship_day) AS m FROM reports WHERE jobtype = 'Cleanup' AND year(ship_day) = 1997 AND month(ship_day) IN (3, 4))
+  SELECT 1 AS run, (SELECT n FROM months) AS partitions UNION ALL SELECT 2, count_if(m = 4) FROM late
+  UNION ALL SELECT 3, count_if(m = 3) FROM late UNION ALL SELECT 4, 0""")
+def partitions_read(spark, sf):
+    runs = _maintained(spark, sf)[1]
+    return spark.createDataFrame([(k + 1, len(units)) for k, units in enumerate(runs)], "run int, partitions long")
+
+
+@query("a15_range_stats", """
+  SELECT count(*) AS records, count(DISTINCT report_id) AS jobs, count(DISTINCT workflow) AS workflows, count(DISTINCT task) AS tasks,
+    count(DISTINCT (workflow, task)) AS task_names, true AS within FROM reports
+  WHERE ship_day BETWEEN DATE '1996-02-10' AND DATE '1997-09-20'""")
+def ranged(spark, sf):
+    """Exact counts, and whether the united sketches come within 5 % of each."""
+    first, last = dt.date(1996, 2, 10), dt.date(1997, 9, 20)
+    about = range_stats(materialise(day_sketches(archive(spark, sf)), "sketches"), first, last)
+    task = split_task(F.col("task"))
+    rows = prune(archive(spark, sf), (first, last)).select("report_id", task["workflow"].alias("w"), task["task"].alias("t"))
+    exact = rows.agg(F.count("*").alias("records"), F.count_distinct("report_id").alias("jobs"), F.count_distinct("w").alias("workflows"),
+                     F.count_distinct("t").alias("tasks"), F.count_distinct("w", "t").alias("task_names"))
+    near = [F.abs(F.col(f"a.{c}") - F.col(f"e.{c}")) <= 0.05 * F.col(f"e.{c}") for c in SKETCHED]
+    both = exact.alias("e").join(about.alias("a"), F.col("a.records") == F.col("e.records"), "left")
+    return both.select("e.*", F.coalesce(reduce(and_, near), F.lit(False)).alias("within"))
+
+
 @query("t05_expire_rollup", """
   SELECT start_date <= TIMESTAMP '1998-05-31' AS dropped, count(*) AS rows, CAST(sum(count) AS BIGINT) AS jobs
   FROM roll GROUP BY ALL""")

@@ -218,7 +218,7 @@ def topics_of(site: Column, exit_code: Column, topics: list[str], default: str |
     """The topics a flat record belongs to.
 
     A topic named after a site tier takes records of that tier, a topic with
-    ``exitCode`` in its name takes failures; the default topic takes all.
+    ``exitCode`` in its name takes failures, those without a number too; the default topic takes all.
     """
     chosen = []
     for topic in topics:
@@ -226,7 +226,7 @@ def topics_of(site: Column, exit_code: Column, topics: list[str], default: str |
             continue
         tests = [site.contains(tier) for tier in SITE_TIERS if tier in topic]
         if "exitCode" in topic:
-            tests.append(exit_code > 0)
+            tests.append((exit_code > 0) | exit_code.isNull())
         for test in tests[:1]:
             for other in tests[1:]:
                 test = test | other
