@@ -1,4 +1,10 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window."""
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
+
+A window is 16 words.  What is compressed is not their letters: a common stem of five letters is
+shorter than a zstandard sequence, so it would save nothing.  Each word is written as three keys of eight bytes,
+hashes of its first three letters, its first five and all of it, the same for every word and language.
+A key that a dictionary holds then saves some five bytes, whatever follows the stem.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +14,27 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from jobledger.llm.common import text_of
+from jobledger.llm.common import free, text_of
+from jobledger.llm.wordseq import numbered, split_words
 from jobledger.session import materialise
 
-WINDOW, STRIDE = 128, 64
-LEVEL = 6
+WINDOW = 16
+LEVEL = 3
 ROWS = 6_000
 WINDOWS = 30_000
-COMMON_BYTES, OWN_BYTES = 16_384, 1_024
-WORD = r"[^\x20\x09-\x0D]+"
-EDGES = r"^[^\p{L}]+|[^\p{L}]+$"
+# Letters behind each key of a word; 0 is the whole word.
+KEYS = (3, 5, 0)
+KEY = 8
+COMMON_BYTES = 110_000
+# Sizes of the toxic dictionary; the held-out half of the training rows chooses.
+OWN_BYTES = (256, 512, 1_024, 2_048, 4_096)
+FEATURES = 5
 
 
 @dataclass(frozen=True)
@@ -35,46 +49,48 @@ class Model:
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary trained on ``samples``; too few or too short ones are taken as they are."""
+    """A zstandard dictionary trained on ``samples``, in segments of a key; too few or too short ones are taken as they are."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=KEY, d=KEY, steps=1).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(samples)[:size]
 
 
-@lru_cache(maxsize=4)
-def _compressors(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-    """The ordinary dictionary, and the same with the toxic one behind it.
+@lru_cache(maxsize=8)
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    With ordinary content in both, a window differs by what is toxic in it only.
-    """
-    made = []
-    for content in (ordinary, ordinary + toxic):
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False))
-    return made[0], made[1]
-
-
-def features(text: str, ordinary: bytes, toxic: bytes) -> tuple[float, ...]:
-    """What the toxic dictionary saves: most and mean of the best three windows, mean, shares that save 3 and 5 bytes."""
-    plain, aware = _compressors(ordinary, toxic)
-    raw = text.encode("utf-8", "surrogatepass").lower()
-    saved = np.array([len(plain.compress(w)) - len(aware.compress(w)) for w in
-                      (raw[at:at + WINDOW] for at in range(0, max(1, len(raw) - WINDOW + STRIDE), STRIDE))])
-    best = np.sort(saved)[-3:]
-    return (float(best[-1]), float(best.mean()), float(saved.mean()), float((saved >= 3).mean()), float((saved >= 5).mean()))
 
+def word_keys(words: pa.Array) -> np.ndarray:
+    """The keys of each word, one row a word; each distinct beginning is hashed once."""
+    codes, distinct = numbered(words)
+    lower = pc.utf8_lower(distinct)
+    columns = []
+    for n in KEYS:
+        own, parts = numbered(pc.utf8_slice_codeunits(lower, 0, n) if n else lower)
+        columns.append(np.fromiter((xxhash.xxh64_intdigest(x.as_buffer(), n) for x in parts), np.uint64, len(parts))[own])
+    return np.column_stack(columns)[codes] if len(distinct) else np.zeros((0, len(KEYS)), np.uint64)
 
-def _features_of(text: Column, model: Model) -> Column:
-    ordinary, toxic = model.ordinary, model.toxic
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([features(t, ordinary, toxic) for t in batch])
+def windows(texts: pa.Array) -> Iterator[list[bytes]]:
+    """For each text its windows, the last one shorter; a text without words has an empty one."""
+    words, offsets = split_words(texts)
+    keys = word_keys(words)
+    for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield [keys[at:min(at + WINDOW, high)].tobytes() for at in range(low, max(high, low + 1), WINDOW)]
 
-    return run(text)
+
+def features(held: list[bytes], ordinary: bytes, toxic: bytes) -> tuple[float, ...]:
+    """What the toxic dictionary behind the ordinary one saves: most, mean of the best three windows, mean, shares that save 4 and 8 bytes.
+
+    With ordinary content in both, a window differs by what is toxic in it only.
+    """
+    plain, aware = _compressor(ordinary), _compressor(ordinary + toxic)
+    saved = np.array([len(plain.compress(w)) - len(aware.compress(w)) for w in held])
+    best = np.sort(saved)[-3:]
+    return (float(best[-1]), float(best.mean()), float(saved.mean()), float((saved >= 4).mean()), float((saved >= 8).mean()))
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, each: np.ndarray | None = None) -> tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
@@ -94,15 +110,37 @@ def fit_weights(x: np.ndarray, y: np.ndarray, each: np.ndarray | None = None) ->
     return tuple(w), tuple(means), tuple(scales)
 
 
+def unexplained(samples: list[bytes], ordinary: bytes) -> list[bytes]:
+    """The windows without the keys that the ordinary dictionary holds; windows with nothing left go."""
+    known = {ordinary[i:i + KEY] for i in range(len(ordinary) - KEY + 1)}
+    left = (b"".join(k for k in (w[i:i + KEY] for i in range(0, len(w), KEY)) if k not in known) for w in samples)
+    return [w for w in left if w]
+
+
+def _log_loss(x: np.ndarray, y: np.ndarray, each: np.ndarray, fitted: tuple) -> float:
+    w, means, scales = (np.array(v) for v in fitted)
+    p = np.clip(1 / (1 + np.exp(-(w[0] + ((x - means) / scales) @ w[1:]))), 1e-6, 1 - 1e-6)
+    return float(-np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=each))
+
+
+def _windows_of(rows: DataFrame, most: int) -> list[bytes]:
+    """At most ``most`` windows, chosen by a hash."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for held in windows(batch.column(0)) for w in held], pa.binary())], ["w"])
+
+    cut = rows.select("text").mapInArrow(run, "w binary").select("w", F.xxhash64("w").alias("r"))
+    return [bytes(r.w) for r in cut.orderBy("r", "w").limit(most).collect() if r.w]
+
+
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-          rows: int = ROWS, windows: int = WINDOWS) -> Model:
+          rows: int = ROWS, most_windows: int = WINDOWS) -> Model:
     """Dictionaries and calibration from at most ``rows`` labelled rows of each class, chosen by a hash of the id.
 
-    Half of the rows train the dictionaries: windows of ordinary text, and from
-    toxic text the surroundings of words that are far more frequent there (by
-    the number of texts; a word counts if its z value is half of the largest
-    or more).  At most ``windows`` of each kind reach the driver.  The other half
-    calibrates: their scores are fitted to labels, and a row counts for as many
+    Half of the rows train the dictionaries on windows of their texts, at most ``most_windows`` of
+    each kind: the ordinary one on ordinary windows, the toxic one on
+    what that leaves unexplained of toxic windows.  The other half calibrates: for each size of the toxic
+    dictionary their scores are fitted to labels, and the size with the least log loss stays.  A row counts for as many
     as its class has labelled rows for each chosen one, so a score is the
     probability among all labelled rows, whatever ``rows`` leaves out.
     """
@@ -116,48 +154,46 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = materialise(found.select("y", "text", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("fit")), "toxic")
     own = found.where("fit").dropDuplicates(["text"])
 
-    word = F.regexp_replace(F.lower("w"), EDGES, "")
-    tokens = own.select("y", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), 0))).alias("w"))
-    counted = tokens.select("y", word.alias("w")).where(F.length("w") > 2).groupBy("w").agg(
-        F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     sizes = own.agg(F.sum("y").alias("na"), F.sum(1 - F.col("y")).alias("nb")).first()
     na, nb = sizes.na or 0, sizes.nb or 0
     if not na or not nb:
         na, nb = na * stands[1], nb * stands[0]
         share = (na + 1) / (na + nb + 2)
-        return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0, 0.0), (0.0,) * 5, (1.0,) * 5)
-    p = (F.col("a") + F.col("b")) / (na + nb)
-    z = (F.col("a") / na - F.col("b") / nb) / F.sqrt(p * (1 - p) * (1 / na + 1 / nb) + 1e-12)
-    ranked = counted.where("a >= 3").withColumn("z", z).orderBy(F.desc("z"), "w").limit(500).collect()
-    marks = [r.w for r in ranked if r.z > max(0.0, ranked[0].z / 2)]
-
-    near = own.where("y = 1").select(F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("w")).where(word.isin(marks))
-    toxic = [f" {r.w.lower()} ".encode() for r in near.select("w", F.rand(7).alias("r")).orderBy("r", "w").limit(windows).collect()]
-    cuts = F.expr(f"transform(sequence(0, greatest(0, length(text) - 1) div {WINDOW}), i -> substring(text, i * {WINDOW} + 1, {WINDOW}))")
-    plain = own.where("y = 0").select(F.explode(cuts).alias("w")).select("w", F.xxhash64("w").alias("r")).orderBy("r", "w").limit(windows)
-    ordinary = [r.w.lower().encode() for r in plain.collect()]
-    toxic = [b"".join(toxic[i:i + 8]) for i in range(0, len(toxic), 8)] if len(toxic) >= 64 else toxic
-    model = Model(dictionary(ordinary, COMMON_BYTES), dictionary(toxic, OWN_BYTES), (), (), ())
-
-    rated = found.where("not fit").select("y", _features_of(F.col("text"), model).alias("x")).collect()
-    if not rated:
-        rated = own.select("y", _features_of(F.col("text"), model).alias("x")).collect()
+        return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * FEATURES), (0.0,) * FEATURES, (1.0,) * FEATURES)
+    ordinary = dictionary(_windows_of(own.where("y = 0"), most_windows), COMMON_BYTES)
+    left = unexplained(_windows_of(own.where("y = 1"), most_windows), ordinary)
+    # Equal contents come from texts too few to fill the larger sizes.
+    candidates = list(dict.fromkeys(dictionary(left, size) for size in OWN_BYTES))
+
+    @F.pandas_udf("array<double>")
+    def rate(texts: pd.Series) -> pd.Series:
+        held = windows(pa.array(texts, pa.string()))
+        return pd.Series([[x for toxic in candidates for x in features(w, ordinary, toxic)] for w in held])
+
+    rated = found.where("not fit").select("y", rate("text").alias("x")).collect() or own.select("y", rate("text").alias("x")).collect()
     y = np.array([r.y for r in rated])
-    return Model(model.ordinary, model.toxic, *fit_weights(np.array([r.x for r in rated]), y.astype(float), stands[y]))
+    every = np.array([r.x for r in rated]).reshape(len(rated), len(candidates), FEATURES)
+    each = stands[y]
+    fits = [fit_weights(every[:, k], y.astype(float), each) for k in range(len(candidates))]
+    best = min(range(len(candidates)), key=lambda k: (_log_loss(every[:, k], y, each, fits[k]), k))
+    return Model(ordinary, candidates[best], *fits[best])
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """Adds the calibrated probability that each whole text is toxic.
 
     Nothing but the text counts.  Empty and null texts get the score of a text in
-    which no window saves anything.  A column of ``df`` named like the added one is replaced.
+    which no window saves anything; repeated texts get one score.  A column of ``df`` named like the added one is replaced.
     """
     ordinary, toxic, weights, means, scales = model.ordinary, model.toxic, np.array(model.weights), np.array(model.means), np.array(model.scales)
+    kept = [c for c in df.columns if c != out]
+    text = free(df, "whole_text")
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], text_of(text_col).alias(text))
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t, ordinary, toxic) for t in batch]).reshape(len(batch), -1)
-            yield pd.Series(1 / (1 + np.exp(-(weights[0] + ((x - means) / scales) @ weights[1:]))), dtype="float64")
+            x = np.array([features(w, ordinary, toxic) for w in windows(batch.column(len(kept)))]).reshape(batch.num_rows, -1)
+            p = 1 / (1 + np.exp(-(weights[0] + ((x - means) / scales) @ weights[1:])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(p, pa.float64())], [*kept, out])
 
-    return df.withColumn(out, run(text_of(text_col)))
+    return rows.mapInArrow(run, rows.drop(text).schema.add(out, "double")).select(*[F.col(f"`{c}`") for c in (df.columns if out in df.columns else [*kept, out])])

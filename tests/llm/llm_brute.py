@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
+import zstandard
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -189,3 +190,21 @@ def without_repeats(rows, window=13):
         marked = "".join("x" if g else "." for g in gone)
         spans = [m.span() for m in re.finditer("x+", marked)]
         yield i, len(w), spans, " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+
+
+def toxicity(text, model, window=16, level=3):
+    """The score of a text by a plain loop over its windows."""
+    w = [x.lower() for x in WORD.findall(text or "")]
+    key = lambda x, n: xxhash.xxh64_intdigest((x[:n] if n else x).encode(), n).to_bytes(8, "little")
+    windows = [b"".join(key(x, n) for x in w[i:i + window] for n in (3, 5, 0)) for i in range(0, max(1, len(w)), window)]
+    size = []
+    for content in (model.ordinary, model.ordinary + model.toxic):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=level)
+        made = zstandard.ZstdCompressor(level=level, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
+        size.append([len(made.compress(x)) for x in windows])
+    saved = [a - b for a, b in zip(*size, strict=True)]
+    best = sorted(saved)[-3:]
+    x = [best[-1], sum(best) / len(best), sum(saved) / len(saved), sum(v >= 4 for v in saved) / len(saved), sum(v >= 8 for v in saved) / len(saved)]
+    z = model.weights[0] + sum(c * (v - m) / s for c, v, m, s in zip(model.weights[1:], x, model.means, model.scales, strict=True))
+    return 1 / (1 + math.exp(-z))

@@ -335,6 +335,32 @@ def test_toxicity_held_out(spark):
     assert sum((r.score >= 0.5) == bool(r.toxic) for r in held) >= 0.9 * len(held)
 
 
+def test_toxicity_of_inflected_stems(spark):
+    """No toxic word occurs twice, only its beginning does."""
+    draw = np.random.default_rng(8)
+    syllable = lambda: f"{'bcdfghklmnprst'[draw.integers(14)]}{'aeiou'[draw.integers(5)]}"
+    rows = []
+    for i in range(900):
+        w = ["".join(syllable() for _ in range(draw.integers(2, 5))) for _ in range(120)]
+        if i % 4 == 0:
+            for at in draw.choice(120, 6, replace=False):
+                w[at] = "xuqor" + syllable() + syllable() + syllable()
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic").where("doc_id % 5 <> 0"))
+    held = toxicity.score(df, model).where("doc_id % 5 = 0").collect()
+    assert sum((r.score >= 0.5) == bool(r.toxic) for r in held) >= 0.9 * len(held)
+
+
+@pytest.mark.parametrize("data", ["documents", "awkward"])
+def test_toxicity_equals_a_plain_loop(request, spark, documents, data):
+    model = toxicity.train(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    df = request.getfixturevalue(data)
+    got = sorted((str(r.doc_id), r.text or "", r.score) for r in toxicity.score(df, model).collect())
+    for (_, text, score), (_, again) in zip(got, sorted((str(i), t or "") for i, t in texts(df)), strict=True):
+        assert text == again and abs(score - brute.toxicity(text, model)) < 1e-9
+
+
 def test_toxicity_scores_do_not_depend_on_the_bound(spark):
     draw = np.random.default_rng(5)
     rows = [(i, " ".join(f"w{x}" for x in draw.integers(0, 60, 40)), int(i % 10 == 0)) for i in range(1000)]
