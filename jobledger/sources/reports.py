@@ -6,7 +6,7 @@ import datetime as dt
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from jobledger.functions.scalar import document_id, parse_day
 from jobledger.schema import DOCUMENT_DDL, METRICS, REPORT_DDL, STEPS
@@ -157,6 +157,44 @@ def tiered_read(hot: DataFrame, cold: DataFrame, timerange: Iterable, threshold_
     return old.unionByName(new)
 
 
+def _canonical(value: Column, kind: T.DataType) -> Column:
+    """A value in one form: fields and map keys in order, every number as text, whole ones without a fraction."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_canonical(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform(F.array_sort(F.map_entries(value)), lambda e: F.struct(
+            e["key"].cast("string").alias("k"), _canonical(e["value"], kind.valueType).alias("v")))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        value = value.cast("double")
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    return value.cast("string")
+
+
+def canonical_text(df: DataFrame, ignore: tuple[str, ...] = ()) -> Column:
+    """Each row as JSON text that does not depend on the order of columns, fields or map keys, on missing against null
+    fields, or on numbers being whole or double in the schema."""
+    fields = sorted((f for f in df.schema.fields if f.name not in ignore), key=lambda f: f.name)
+    return F.to_json(F.struct(*[_canonical(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]))
+
+
+# What storage adds to a document, and the id itself.
+ENVELOPE = ("report_id", "ingest_ts", "stage", "kind", "year", "month", "day")
+
+
+def with_document_hash(df: DataFrame, ignore: tuple[str, ...] = ENVELOPE, out: str = "report_id") -> DataFrame:
+    """Set the id of each report to the hash of its whole content."""
+    return df.withColumn(out, F.sha2(canonical_text(df, ignore), 256))
+
+
+def verify_documents(df: DataFrame, ignore: tuple[str, ...] = ENVELOPE, key: str = "report_id") -> DataFrame:
+    """Reports whose whole content no longer gives their id."""
+    return df.where(F.sha2(canonical_text(df, ignore), 256) != F.col(key))
+
+
 def with_content_hash(df: DataFrame, *names: str) -> DataFrame:
     """Set the id of each document to the hash of its content fields."""
     return df.withColumn("report_id", document_id(*names))
