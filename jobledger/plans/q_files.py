@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from jobledger.operators.extract import flatten_errors
 from jobledger.operators.rollup import rollup, with_hash
@@ -184,6 +184,24 @@ def rollover(spark, sf):
     return per_file.agg(F.sum("n").alias("rows"), F.bool_and(F.col("n") <= 5000).alias("within_limit"))
 
 
+@query("k06_target_bytes", """
+  SELECT count(*) AS rows, count(DISTINCT year(ship_day)) AS years, true AS within FROM reports""")
+def target_bytes(spark, sf):
+    """A dozen files' worth over the years: all but the last file of a year within a fifth of the target."""
+    plain, path = new_dir(spark, "plain"), new_dir(spark, "sized")
+    sinks.write(archive(spark, sf), plain)
+    stored = spark.read.parquet(plain)
+    total = stored.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0]
+    target = total // 20
+    sinks.write_sized(stored, path, target, by=["year"])
+    per_file = spark.read.parquet(path).groupBy("year", F.col("_metadata.file_path").alias("f")).agg(
+        F.first("_metadata.file_size").alias("size"), F.count("*").alias("n"))
+    last = F.row_number().over(Window.partitionBy("year").orderBy("n", "f")) == 1
+    near = F.abs(F.col("size") - target) <= 0.2 * target
+    return per_file.withColumn("last", last).agg(
+        F.sum("n").alias("rows"), F.count_distinct("year").alias("years"), F.bool_and(F.col("last") | near).alias("within"))
+
+
 @query("k07_upsert_rollup", """
   , months AS (SELECT date_trunc('month', ts) AS start_date, workflow, task, host, site, jobtype, jobstate, acquisitionEra, exitCode, exitStep,
       count(*) AS count FROM facts GROUP BY ALL)

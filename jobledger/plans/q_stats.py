@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobledger.operators import stats
+from jobledger.operators.hashtree import build_and_compare
 from jobledger.plans.q_cube import daily
 from jobledger.plans.registry import query
 from jobledger.schema import STORAGE_ATTRIBUTES
-from jobledger.sources.archive import archive
+from jobledger.session import new_dir
+from jobledger.sources.archive import LAYOUT, archive
+from jobledger.sources.reports import read_reports
 from jobledger.sources.sinks import new_rows
 from jobledger.sources.tables import table
 
@@ -163,3 +166,25 @@ def compared(spark, sf):
     copy = orders.withColumn("o_orderstatus", F.regexp_replace("o_orderstatus", "P", "Q")) \
                  .withColumn("o_totalprice", F.col("o_totalprice") + 1)
     return stats.compare(orders, copy, ignore=["o_totalprice"]).groupBy("side").agg(F.sum("n").alias("n"))
+
+
+# Distinct reports: the copy has other wall times for one host in May 1997, lacks clean-up jobs of June 1996 and one host's of 1998.
+_COPY_TESTS = {
+    "other": "year(ship_day) = 1997 AND month(ship_day) = 5 AND host = 'host2'",
+    "lost": "((year(ship_day) = 1996 AND month(ship_day) = 6 AND jobtype = 'Cleanup') OR (year(ship_day) = 1998 AND host = 'host4' AND month(ship_day) = 2))"}
+
+
+@query("j09_hash_tree", f"""
+  SELECT report_id, 'both' AS side, 'meta wall_s' AS fields FROM reports WHERE {_COPY_TESTS['other']}
+  UNION ALL SELECT report_id, 'source', '' FROM reports WHERE {_COPY_TESTS['lost']}""")
+def hash_tree(spark, sf):
+    root = new_dir(spark, "copies")
+    source = archive(spark, sf)
+    month = lambda y, m: (F.col("year") == y) & (F.col("month") == m)
+    other = month(1997, 5) & (F.col("meta.host") == "host2")
+    lost = (month(1996, 6) & (F.col("meta.jobtype") == "Cleanup")) | (month(1998, 2) & (F.col("meta.host") == "host4"))
+    changed = source.where(~lost).withColumn("wall_s", F.when(other, F.col("wall_s") + 1).otherwise(F.col("wall_s"))).withColumn(
+        "meta", F.when(other, F.col("meta").withField("agent_ver", F.lit("2"))).otherwise(F.col("meta")))
+    changed.write.partitionBy(*LAYOUT).parquet(f"{root}/copy")
+    rows = build_and_compare(spark, source, read_reports(spark, f"{root}/copy"), f"{root}/trees", by=LAYOUT)
+    return rows.withColumn("fields", F.array_join(F.array_sort("fields"), " "))

@@ -7,7 +7,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from jobledger.schema import PARTITION_COLUMNS
 from jobledger.session import materialise, read_or_none, settings, staging
@@ -161,6 +161,36 @@ def write_daily(df: DataFrame, root: str, skip_existing: bool = False,
     df.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(root)
 
 
+def write_sized(df: DataFrame, path: str, target_bytes: int, by: list[str] | None = None, mode: str = "append", subs: int = 64) -> int:
+    """Partitioned layout whose files have about ``target_bytes``, all but the last one of each partition; gives the rows of a file.
+
+    The rows are staged; a line through the sizes and row counts of the staged files gives the bytes of a row and of an empty file.
+    Every row has a place in its partition: rows are numbered within ``subs`` random parts of it,
+    behind the parts before, so a partition that holds most rows is numbered by many tasks.
+    Files are stretches of places, and a task takes whole stretches.
+    """
+    by = by or PARTITION_COLUMNS
+    spark = df.sparkSession
+    row, sub, place = "_row_in_table", "_sub", "_file"
+    with staging(spark):
+        rows = materialise(df.withColumn(row, F.monotonically_increasing_id()), "sized")
+        files = rows.groupBy(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"))
+        fit = files.agg(F.regr_slope("size", "n").alias("slope"), F.regr_intercept("size", "n").alias("base"),
+                        (F.sum("size") / F.sum("n")).alias("mean")).first()
+        slope, base = (fit.slope, fit.base) if fit.slope and fit.slope > 0 and 0 <= fit.base < target_bytes / 2 else (fit.mean or 1.0, 0.0)
+        per_file = max(1, round((target_bytes - base) / slope))
+        rows = rows.withColumn(sub, F.pmod(F.xxhash64(row), F.lit(subs)))
+        counts = rows.groupBy(*by, sub).agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy(*by).orderBy(sub)) - F.col("_n")
+        counts = materialise(counts.select(*by, sub, before.alias("_before")), "parts")
+        at = F.row_number().over(Window.partitionBy(*by, sub).orderBy(row)) - 1
+        placed = rows.withColumn("_at", at).join(counts, [*by, sub])
+        placed = placed.withColumn(place, F.floor((F.col("_before") + F.col("_at")) / per_file)).select(*df.columns, place)
+        (placed.repartition(*by, place).sortWithinPartitions(*by, place).drop(place)
+               .write.mode(mode).option("maxRecordsPerFile", per_file).partitionBy(*by).parquet(path))
+    return per_file
+
+
 def check_copy(source: DataFrame, copy: DataFrame, key: str = "report_id") -> DataFrame:
     """Per day: rows in source and copy, and whether the ids agree."""
     def per_day(df: DataFrame, name: str) -> DataFrame:
