@@ -147,8 +147,8 @@ def first_rows(spark, sf):
 def tiered(spark, sf):
     reports = envelope(spark, sf)
     root = new_dir(spark, "tiers")
-    sinks.write_daily(reports.where("year = 1998"), f"{root}/hot", by=LAYOUT)
-    old = reports.where("ingest_ts < unix_date(date'1998-06-01') * 86400 + 3600 and year >= 1998")
+    sinks.write_daily(reports, f"{root}/hot", by=LAYOUT)
+    old = reports.where("ingest_ts < unix_date(date'1998-06-01') * 86400 + 3600")
     sinks.write_daily(old.withColumn("stage", F.lit("cold")), f"{root}/cold", by=LAYOUT)
     hot, cold = (spark.read.parquet(f"{root}/{tier}") for tier in ("hot", "cold"))
     return tiered_read(hot, cold, RANGE, 30, TODAY).groupBy("stage").agg(F.count("*").alias("n"))
@@ -223,13 +223,21 @@ def dump(spark, sf):
     return spark.read.schema(REPORT_DDL).json(path).agg(F.count("*").cast("int").alias("n"))
 
 
-@query("k10_convert", BY_TYPE)
+@query("k10_convert", """
+  SELECT * FROM (SELECT jobtype, count(*) AS n, CAST(sum(wall_s) AS BIGINT) AS wall FROM reports GROUP BY ALL)
+    JOIN (SELECT jobtype, count(*) AS steps, count(site) AS sites, CAST(sum(CASE WHEN name = 'cmsRun1' THEN cents // 2 END) AS BIGINT) AS cpu
+          FROM steps GROUP BY ALL) USING (jobtype)""")
 def convert(spark, sf):
+    """Whole reports from JSON to ORC to Parquet; nested parts are counted in the last."""
     root = new_dir(spark, "convert")
     sinks.write(envelope(spark, sf), f"{root}/json", fmt="json")
-    sinks.convert(spark, f"{root}/json", f"{root}/orc", "wall_s bigint, meta struct<jobtype:string>", "json", "orc")
+    sinks.convert(spark, f"{root}/json", f"{root}/orc", REPORT_DDL, "json", "orc")
     sinks.convert(spark, f"{root}/orc", f"{root}/parquet", None, "orc", "parquet")
-    return by_type(spark.read.parquet(f"{root}/parquet"))
+    main = F.filter("steps", lambda s: s["name"] == "cmsRun1")
+    return spark.read.parquet(f"{root}/parquet").groupBy("meta.jobtype").agg(
+        F.count("*").alias("n"), F.sum("wall_s").alias("wall"), F.sum(F.size("steps")).cast("bigint").alias("steps"),
+        F.sum(F.size(F.filter("steps", lambda s: s["site"].isNotNull()))).cast("bigint").alias("sites"),
+        F.sum(F.get(main, F.lit(0))["performance"]["cpu"]["TotalJobCPU"]).cast("bigint").alias("cpu"))
 
 
 @query("k11_saved_results", """
