@@ -9,7 +9,6 @@ from jobledger.session import materialise
 
 SUPPORT = 0.01
 CONFIDENCE = 0.8
-TOKENS = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,27 +51,48 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
         tagged("host:", F.split(host, "[.-]")), tagged("path:", F.split(path, "[/._-]")), tagged("ask:", names))))
 
 
+def together(rows: DataFrame, tokens: str, label: str, support: float = SUPPORT) -> DataFrame:
+    """(token, rep) for frequent tokens that occur in exactly the labelled rows of another one, ``rep``.
+
+    Tokens agree when the number and two sums over hashes of their rows do.  Frequent tokens are at most the mean number of tokens
+    of a row over ``support``, whatever the input.
+    """
+    known = rows.where(F.col(label).isNotNull()).select(F.col(tokens).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    least = known.count() * support
+    h = F.xxhash64("row")
+    seen = known.select(F.explode(F.array_distinct("tokens")).alias("token"), h.alias("h")).groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("h")).alias("mixed"))
+    same = seen.where(F.col("n") >= least).groupBy("n", "total", "mixed").agg(F.array_sort(F.collect_list("token")).alias("held"))
+    return same.select(F.explode(F.slice("held", 2, 1 << 30)).alias("token"), F.col("held")[0].alias("rep"))
+
+
 def mine(rows: DataFrame, tokens: str, label: str, support: float = SUPPORT, confidence: float = CONFIDENCE,
-         most_tokens: int = TOKENS) -> DataFrame:
+         twins: DataFrame | None = None) -> DataFrame:
     """Rules ``tokens -> label`` (``tokens, label, confidence, support``), mined by FP-growth.
 
     All labelled rows are mined: each task sums its own into prefix trees, so equal
     baskets are one path.  ``support`` bounds
     the frequent combinations, and so the rules, whatever the input; rules
-    below ``confidence`` go, and those of more than ``most_tokens`` tokens (a
-    shorter rule covers the same URLs).
+    below ``confidence`` go, those of many tokens stay.  Of tokens that always occur together
+    (``twins``, see ``together``) one stands for all: a template of forty of them is one item, not 2^40 combinations.
     """
     mark = "label:"
-    baskets = rows.where(F.col(label).isNotNull()).select(
-        F.array_union(tokens, F.array(F.concat(F.lit(mark), label))).alias("items"))
+    gone = [r.token for r in twins.select("token").collect()] if twins is not None else []
+    own = F.array_except(tokens, F.array(*[F.lit(t) for t in gone])) if gone else F.col(tokens)
+    baskets = rows.where(F.col(label).isNotNull()).select(F.array_union(own, F.array(F.concat(F.lit(mark), label))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     target = F.element_at("consequent", 1)
     own = F.filter("antecedent", lambda x: x.startswith(mark))
-    return model.associationRules.where(
-        target.startswith(mark) & (F.size(own) == 0) & (F.size("antecedent") <= most_tokens)).select(
+    return model.associationRules.where(target.startswith(mark) & (F.size(own) == 0)).select(
         F.array_sort("antecedent").alias("tokens"), F.substring(target, len(mark) + 1, 1 << 20).alias("label"), "confidence", "support")
 
 
+def represented(sets: DataFrame, twins: DataFrame) -> DataFrame:
+    """Distinct token sets, and the same with each token's representative: a set that has one of twins fits rules on any of them."""
+    each = sets.select("tokens", F.explode("tokens").alias("token")).join(twins, "token", "left")
+    return each.groupBy("tokens").agg(F.array_sort(F.collect_set(F.coalesce("rep", "token"))).alias("reps"))
+
+
 def index(rules: DataFrame, counts: DataFrame) -> DataFrame:
     """Each rule once, under the rarest of its tokens (``token``)."""
     worth = rules.select("*", F.explode("tokens").alias("token")).join(counts, "token", "left")
@@ -114,9 +134,12 @@ def filter_urls(df: DataFrame, lists: dict[str, str], url_col: str = "url", defa
     rows = rows.withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
     known = F.create_map(*[F.lit(x) for pair in lists.items() for x in pair])[F.col("rule")] if lists else F.lit(None).cast("string")
     rows = materialise(rows.withColumn("known", known).drop("url"), "urls")
-    rules = materialise(mine(rows, "tokens", "known", **options), "rules")
+    twins = materialise(together(rows, "tokens", "known", options.get("support", SUPPORT)), "twins")
+    rules = materialise(mine(rows, "tokens", "known", twins=twins, **options), "rules")
     sets = rows.where(F.col("known").isNull() & (F.size("tokens") > 0)).select("tokens").distinct()
-    judged = match(materialise(sets, "sets"), rules)
+    sets = materialise(represented(sets, twins), "sets")
+    judged = match(sets.select(F.col("reps").alias("tokens")).distinct(), rules)
+    judged = sets.join(judged.withColumnRenamed("tokens", "reps"), "reps").select("tokens", "best")
     out = rows.join(judged, "tokens", "left")
     return out.select("row.*", "host", "path", "rule",
                       F.coalesce("known", F.col("best.label"), F.lit(default)).alias("verdict"))

@@ -399,7 +399,7 @@ def test_url_rules(spark):
 def test_association_rules_and_index(spark):
     baskets = [(["a", "b"], "block")] * 9 + [(["a", "c"], "allow")] * 8 + [(["b", "d"], "block")] * 5 + [(["c", "d"], None)] * 3
     df = spark.createDataFrame(baskets, "tokens array<string>, label string")
-    rules = urlrules.mine(df, "tokens", "label", support=0.1, confidence=0.8, most_tokens=2)
+    rules = urlrules.mine(df, "tokens", "label", support=0.1, confidence=0.8)
     got = {(tuple(r.tokens), r.label): (round(r.confidence, 6), round(r.support, 6)) for r in rules.collect()}
     known = [(frozenset(t), y) for t, y in baskets if y]
     want = {}
@@ -419,6 +419,18 @@ def test_association_rules_and_index(spark):
             assert best[tuple(t)].label == max(fits)[3]
 
 
+def test_a_template_of_many_tokens(spark):
+    """Forty query names in a third of all URLs are one item; a URL with any of them fits its rules."""
+    asked = "&".join(f"n{chr(97 + i // 26)}{chr(97 + i % 26)}=1" for i in range(40))
+    urls = [f"http://a{i % 7}.net/x?{asked}" if i % 3 == 0 else f"http://b.org/fr/p{chr(97 + i % 5)}" for i in range(900)]
+    urls += [f"http://c.io/?naa=1&z{i}=2" for i in range(3)] + [f"http://d.io/q?{asked}"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    rows = {r.page_id: r for r in urlrules.filter_urls(df, LISTS, support=0.05).collect()}
+    assert len(rows) == len(urls) and all(rows[i].verdict == "block" and rows[i].rule is None for i in range(900, 904))
+    twins = urlrules.together(spark.createDataFrame([(["a", "b"], "x"), (["a", "b", "c"], "y"), (["c"], None)], "t array<string>, y string"), "t", "y", 0.1)
+    assert [(r.token, r.rep) for r in twins.collect()] == [("b", "a")]
+
+
 def test_rules_count_every_labelled_row(spark):
     n = 150_000
     which = F.when(F.col("id") % 3 == 0, F.array(F.lit("a"))).when(F.col("id") % 3 == 1, F.array(F.lit("b"))).otherwise(F.array(F.lit("c")))
