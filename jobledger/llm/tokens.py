@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,10 +80,31 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def _apart(word: str) -> tuple[str, str] | None:
-    """Lower-case ASCII letters and the marks behind them, which are tokens of their own; None for any other word."""
-    core = word.rstrip(MARKS)
-    return (core.lower(), word[len(core):]) if core.isascii() and core.isalpha() else None
+@lru_cache(maxsize=8)
+def splitting(path: str) -> tuple[bool, str]:
+    """Whether the tokenizer lower-cases ASCII letters, and which marks its splitter parts from letters before them, whatever follows.
+
+    Asked of its own normaliser and splitter; a tokenizer without these does neither.
+    """
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    normal = model.normalizer.normalize_str if model.normalizer else str
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    lowers = normal(letters) == letters.lower() and all(normal(c) == c.lower() for c in letters)
+    if not model.pre_tokenizer:
+        return lowers, ""
+
+    def parts(text: str) -> bool:
+        return any(start == 2 for _, (start, _) in model.pre_tokenizer.pre_tokenize_str(normal(text)))
+
+    return lowers, "".join(m for m in MARKS if all(parts(f"ab{m}{more}") for more in ("", *MARKS)))
+
+
+def _apart(word: str, lowers: bool, marks: str) -> tuple[str, str] | None:
+    """ASCII letters, in lower case where the tokenizer makes them so, and the marks behind them that it parts from them; None for any other word."""
+    core = word.rstrip(marks) if marks else word
+    return (core.lower() if lowers else core, word[len(core):]) if core.isascii() and core.isalpha() else None
 
 
 def _encode_words(words: list[str], path: str, keep: Callable) -> list:
@@ -114,7 +136,8 @@ def _between(ids: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
 
 def _learn(fresh: set[str], known: dict[str, object], path: str, keep: Callable) -> None:
     """Add words to the memory; one that differs by case or marks behind it from another is put together from that."""
-    parts = {w: a for w in fresh if (a := _apart(w)) and a != (w, "")}
+    how = splitting(path)
+    parts = {w: a for w in fresh if (a := _apart(w, *how)) and a != (w, "")}
     wanted = (fresh - parts.keys()) | {x for a in parts.values() for x in a if x not in known}
     todo = list(wanted)
     known.update(zip(todo, _encode_words(todo, path, keep), strict=True))

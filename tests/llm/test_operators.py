@@ -199,6 +199,21 @@ def test_other_tokenizers(documents, name):
     assert counts == [len(encode([t])[0]) for _, t in some]
 
 
+def test_a_vocabulary_with_capitals(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    words = ["[UNK]", "Paris", "paris", ".", "Hello", "hello", "a", "..", ",", "b"]
+    made = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    for splitter in (pre_tokenizers.Whitespace(), pre_tokenizers.WhitespaceSplit()):
+        made.pre_tokenizer = splitter
+        path = str(tmp_path / f"{type(splitter).__name__}.json")
+        made.save(path)
+        some = ["Paris. Paris.. paris", "Hello hello, a.b HELLO", "", "a | b.", "Paris,, .Paris"]
+        got = [[i for held in word for i in held] for word in tokens.encoded(some, path, list)]
+        assert got == [made.encode(t, add_special_tokens=False).ids for t in some]
+    assert tokens.splitting(PATH)[0] and tokens.splitting(PATH)[1] == tokens.MARKS
+
+
 def test_pieces_of_long_texts():
     text = "ab cd\n" * 50 + "x" * 100
     for most in (7, 40, 1000):
