@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobledger.llm.common import collapsed, id_key, text_of, without
+from jobledger.llm.common import collapsed, free, id_key, text_of, without
 from jobledger.session import materialise
 
 PREFIX_CHARS = 256
@@ -63,8 +63,9 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The rows that stay, with all their columns; the text is shuffled once."""
     staged, groups = _levels(df, id_col, text_col, prefix_chars)
+    own, mark = free(df, "own_id"), free(df, "own_digest")
     lost = (staged.join(groups, "digest")
                   .where(~F.col("id").eqNullSafe(F.col("first.id")))
-                  .select(id_key("id").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    keyed = df.withColumns({"__id": id_key(id_col), "__digest": _digest(collapsed(text_of(text_col)))})
-    return without(keyed, lost, ["__id", "__digest"])
+                  .select(id_key("id").alias(own), F.col("digest").alias(mark)).distinct())
+    keyed = df.withColumns({own: id_key(id_col), mark: _digest(collapsed(text_of(text_col)))})
+    return without(keyed, lost, [own, mark])

@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobledger.llm.common import id_key, text_of, without
+from jobledger.llm.common import free, id_key, text_of, without
 from jobledger.llm.components import components
 from jobledger.session import materialise
 
@@ -263,10 +263,11 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Of rows with that id, the one with the smallest fingerprint key stays, and one of those.
     """
-    keyed = df.withColumns({"__id": id_key(id_col), "__print": fingerprint_of(text_of(text_col), shingle, words)})
-    rows = materialise(keyed.select(F.col(id_col).alias("id"), F.col("__id"), F.col("__print").alias("w")), "rows")
+    own, mark = free(df, "own_id"), free(df, "own_print")
+    keyed = df.withColumns({own: id_key(id_col), mark: fingerprint_of(text_of(text_col), shingle, words)})
+    rows = materialise(keyed.select(F.col(id_col).alias("id"), F.col(own).alias("__id"), F.col(mark).alias("w")), "rows")
     rows = _keyed(rows.withColumn("__print", F.col("w")), words)
     classes = _classes(rows, distance, bits, bucket, words).where("size > 1")
     lost = (rows.join(classes, "f").where(~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("f") == F.col("head.f"))))
-                .select("__id", "__print").distinct())
-    return without(keyed, lost, ["__id", "__print"])
+                .select(F.col("__id").alias(own), F.col("__print").alias(mark)).distinct())
+    return without(keyed, lost, [own, mark])

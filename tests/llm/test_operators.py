@@ -240,6 +240,13 @@ def test_packing(request, data):
         assert at <= packing.CAPACITY
 
 
+def test_columns_named_like_the_operators_own_stay(spark):
+    rows = [(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "x2", "y2", "z2"), (3, "other words than these", "x3", "y3", "z3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_id string, own_digest string, own_print string")
+    for kept in (exact.drop_copies(df), simhash.drop_near_copies(df)):
+        assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
 def test_genetic_packing_beats_or_meets_best_fit():
     draw = np.random.default_rng(2)
     for seed in range(5):
