@@ -32,8 +32,9 @@ WINDOWS = 30_000
 KEYS = (3, 5, 0)
 KEY = 8
 COMMON_BYTES = 110_000
-# Sizes of the toxic dictionary; the held-out half of the training rows chooses.
-OWN_BYTES = (256, 512, 1_024, 2_048, 4_096)
+# The toxic dictionary is trained to this size; of its segments those stay that are LEAST times in toxic windows and RATIO times as dense there.
+OWN_BYTES = 32_768
+LEAST, RATIO = 8, 4
 FEATURES = 5
 
 
@@ -117,10 +118,14 @@ def unexplained(samples: list[bytes], ordinary: bytes) -> list[bytes]:
     return [w for w in left if w]
 
 
-def _log_loss(x: np.ndarray, y: np.ndarray, each: np.ndarray, fitted: tuple) -> float:
-    w, means, scales = (np.array(v) for v in fitted)
-    p = np.clip(1 / (1 + np.exp(-(w[0] + ((x - means) / scales) @ w[1:]))), 1e-6, 1 - 1e-6)
-    return float(-np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=each))
+def telling(content: bytes, toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """The segments of a toxic dictionary that are far denser in toxic than in ordinary windows."""
+    counts = [dict(zip(*np.unique(np.frombuffer(b"".join(w), "<u8"), return_counts=True), strict=True)) for w in (toxic, ordinary)]
+    size = [max(1, sum(len(x) for x in w)) for w in (toxic, ordinary)]
+    found = [(counts[0].get(k, 0), k) for k in np.unique(np.frombuffer(content[len(content) % KEY:], "<u8"))]
+    kept = [(n, k) for n, k in found if n >= LEAST and n / size[0] >= RATIO * counts[1].get(k, 0) / size[1]]
+    # zstandard never matches the last bytes of a dictionary, so these hold nothing.
+    return b"".join(int(k).to_bytes(KEY, "little") for _, k in sorted(kept)) + bytes(2 * KEY)
 
 
 def _windows_of(rows: DataFrame, most: int) -> list[bytes]:
@@ -139,8 +144,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Half of the rows train the dictionaries on windows of their texts, at most ``most_windows`` of
     each kind: the ordinary one on ordinary windows, the toxic one on
-    what that leaves unexplained of toxic windows.  The other half calibrates: for each size of the toxic
-    dictionary their scores are fitted to labels, and the size with the least log loss stays.  A row counts for as many
+    what that leaves unexplained of toxic windows, without the segments that are as dense in ordinary ones.  The other half calibrates:
+    its scores are fitted to labels, and a row counts for as many
     as its class has labelled rows for each chosen one, so a score is the
     probability among all labelled rows, whatever ``rows`` leaves out.
     """
@@ -160,23 +165,18 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         na, nb = na * stands[1], nb * stands[0]
         share = (na + 1) / (na + nb + 2)
         return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * FEATURES), (0.0,) * FEATURES, (1.0,) * FEATURES)
-    ordinary = dictionary(_windows_of(own.where("y = 0"), most_windows), COMMON_BYTES)
-    left = unexplained(_windows_of(own.where("y = 1"), most_windows), ordinary)
-    # Equal contents come from texts too few to fill the larger sizes.
-    candidates = list(dict.fromkeys(dictionary(left, size) for size in OWN_BYTES))
+    samples = [_windows_of(own.where(F.col("y") == y), most_windows) for y in (0, 1)]
+    ordinary = dictionary(samples[0], COMMON_BYTES)
+    toxic = telling(dictionary(unexplained(samples[1], ordinary), OWN_BYTES), samples[1], samples[0])
 
     @F.pandas_udf("array<double>")
     def rate(texts: pd.Series) -> pd.Series:
         held = windows(pa.array(texts, pa.string()))
-        return pd.Series([[x for toxic in candidates for x in features(w, ordinary, toxic)] for w in held])
+        return pd.Series([list(features(w, ordinary, toxic)) for w in held])
 
     rated = found.where("not fit").select("y", rate("text").alias("x")).collect() or own.select("y", rate("text").alias("x")).collect()
     y = np.array([r.y for r in rated])
-    every = np.array([r.x for r in rated]).reshape(len(rated), len(candidates), FEATURES)
-    each = stands[y]
-    fits = [fit_weights(every[:, k], y.astype(float), each) for k in range(len(candidates))]
-    best = min(range(len(candidates)), key=lambda k: (_log_loss(every[:, k], y, each, fits[k]), k))
-    return Model(ordinary, candidates[best], *fits[best])
+    return Model(ordinary, toxic, *fit_weights(np.array([r.x for r in rated]), y.astype(float), stands[y]))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
