@@ -9,7 +9,6 @@ ids of files that are gone count no more.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Collection
 
@@ -26,12 +25,9 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-# A file's place in the table: its partition folders and name.
-PLACE = r"((?:[^/=]+=[^/]*/)*[^/]+)$"
-
-
-def _name(path: Column) -> Column:
-    return F.regexp_extract(path, PLACE, 1)
+def _mark(path: str) -> str:
+    """What stands before a file's place in the table, its partition folders and name."""
+    return f"/{path.rstrip('/').rsplit('/', 1)[-1]}/"
 
 
 def _parts(spark: SparkSession, path: str) -> dict[str, set[str]]:
@@ -43,23 +39,21 @@ def _parts(spark: SparkSession, path: str) -> dict[str, set[str]]:
     return parts
 
 
-def _place(uri: str) -> str:
-    return re.search(PLACE, uri)[1]
-
-
 def refresh(spark: SparkSession, path: str, key: str, buckets: int = BUCKETS) -> DataFrame | None:
     """Add the ids of files the index has not seen, of which only the id column is read; gives the live index."""
     table = read_or_none(spark, path)
     if table is None:
         return None
     parts = _parts(spark, path)
-    files = {_place(f): f for f in table.inputFiles()}
+    mark = _mark(path)
+    files = {f.rsplit(mark, 1)[-1]: f for f in table.inputFiles()}
     known = set().union(*parts.values())
-    fresh = [uri for name, uri in files.items() if name not in known]
+    fresh = {name: uri for name, uri in files.items() if name not in known}
     if fresh:
-        rows = spark.read.schema(table.schema).parquet(*fresh).select(F.col(key).cast("string").alias("id"), _name(F.col("_metadata.file_path")).alias("file"))
-        part = _write_part(rows.where("id is not null"), [_place(f) for f in fresh], path, buckets)
-        parts[part] = {_place(f) for f in fresh}
+        rows = spark.read.schema(table.schema).parquet(*fresh.values()).select(
+            F.col(key).cast("string").alias("id"), F.substring_index("_metadata.file_path", mark, -1).alias("file"))
+        part = _write_part(rows.where("id is not null"), list(fresh), path, buckets)
+        parts[part] = set(fresh)
     live = _live(spark, path, parts, files.keys())
     if len(parts) > MOST_PARTS:
         return compact(spark, path, live, parts, files.keys(), buckets)
