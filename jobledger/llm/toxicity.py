@@ -40,7 +40,11 @@ FEATURES = 5
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries and calibration; a few kilobytes, whatever it was trained on."""
+    """Dictionaries and calibration; a few kilobytes, whatever it was trained on.
+
+    ``toxic`` is what toxic text has of its own behind ``ordinary``.  Where ordinary text has more of its own, the
+    two change places, and the weights say that what is saved speaks against a text.
+    """
 
     ordinary: bytes
     toxic: bytes
@@ -111,6 +115,12 @@ def fit_weights(x: np.ndarray, y: np.ndarray, each: np.ndarray | None = None) ->
     return tuple(w), tuple(means), tuple(scales)
 
 
+def log_loss(x: np.ndarray, y: np.ndarray, each: np.ndarray, weights: tuple, means: tuple, scales: tuple) -> float:
+    """What a calibration leaves open about the labels of rows, each standing for as many as ``each`` says."""
+    z = weights[0] + ((x - np.array(means)) / scales) @ np.array(weights[1:])
+    return float(np.average(np.logaddexp(0, np.where(y == 1, -z, z)), weights=each))
+
+
 def unexplained(samples: list[bytes], ordinary: bytes) -> list[bytes]:
     """The windows without the keys that the ordinary dictionary holds; windows with nothing left go."""
     known = {ordinary[i:i + KEY] for i in range(len(ordinary) - KEY + 1)}
@@ -119,15 +129,25 @@ def unexplained(samples: list[bytes], ordinary: bytes) -> list[bytes]:
 
 
 def telling(content: bytes, toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """The segments of a toxic dictionary that are far denser in toxic than in ordinary windows."""
+    """The keys in a toxic dictionary that are far denser in toxic than in ordinary windows.
+
+    They are looked for at every byte: zstandard's header is of any length, and a segment may begin within a key.
+    """
     counts = [dict(zip(*np.unique(np.frombuffer(b"".join(w), "<u8"), return_counts=True), strict=True)) for w in (toxic, ordinary)]
     size = [max(1, sum(len(x) for x in w)) for w in (toxic, ordinary)]
-    found = [(counts[0].get(k, 0), k) for k in np.unique(np.frombuffer(content[len(content) % KEY:], "<u8"))]
+    held = np.unique(np.concatenate([np.frombuffer(content[at:at + (len(content) - at) // KEY * KEY], "<u8") for at in range(KEY)]))
+    found = [(counts[0].get(k, 0), k) for k in held]
     kept = [(n, k) for n, k in found if n >= LEAST and n / size[0] >= RATIO * counts[1].get(k, 0) / size[1]]
     # zstandard never matches the last bytes of a dictionary, so these hold nothing.
     return b"".join(int(k).to_bytes(KEY, "little") for _, k in sorted(kept)) + bytes(2 * KEY)
 
 
+def _pair(base: list[bytes], other: list[bytes]) -> tuple[bytes, bytes]:
+    """The dictionary of windows of one label, and what windows of the other label have of their own behind it."""
+    held = dictionary(base, COMMON_BYTES)
+    return held, telling(dictionary(unexplained(other, held), OWN_BYTES), other, base)
+
+
 def _windows_of(rows: DataFrame, most: int) -> list[bytes]:
     """At most ``most`` windows, chosen by a hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +164,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Half of the rows train the dictionaries on windows of their texts, at most ``most_windows`` of
     each kind: the ordinary one on ordinary windows, the toxic one on
-    what that leaves unexplained of toxic windows, without the segments that are as dense in ordinary ones.  The other half calibrates:
+    what that leaves unexplained of toxic windows, without the segments that are as dense in ordinary ones.  The same is done with the labels
+    changed about, and the pair counts whose calibration leaves less open.  The other half calibrates:
     its scores are fitted to labels, and a row counts for as many
     as its class has labelled rows for each chosen one, so a score is the
     probability among all labelled rows, whatever ``rows`` leaves out.
@@ -166,17 +187,19 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = (na + 1) / (na + nb + 2)
         return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * FEATURES), (0.0,) * FEATURES, (1.0,) * FEATURES)
     samples = [_windows_of(own.where(F.col("y") == y), most_windows) for y in (0, 1)]
-    ordinary = dictionary(samples[0], COMMON_BYTES)
-    toxic = telling(dictionary(unexplained(samples[1], ordinary), OWN_BYTES), samples[1], samples[0])
+    pairs = [_pair(samples[y], samples[1 - y]) for y in (0, 1)]
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<array<double>>")
     def rate(texts: pd.Series) -> pd.Series:
         held = windows(pa.array(texts, pa.string()))
-        return pd.Series([list(features(w, ordinary, toxic)) for w in held])
+        return pd.Series([[list(features(w, *pair)) for pair in pairs] for w in held])
 
     rated = found.where("not fit").select("y", rate("text").alias("x")).collect() or own.select("y", rate("text").alias("x")).collect()
     y = np.array([r.y for r in rated])
-    return Model(ordinary, toxic, *fit_weights(np.array([r.x for r in rated]), y.astype(float), stands[y]))
+    fits = [fit_weights(np.array([r.x[side] for r in rated]), y.astype(float), stands[y]) for side in (0, 1)]
+    losses = [log_loss(np.array([r.x[side] for r in rated]), y, stands[y], *fit) for side, fit in enumerate(fits)]
+    best = int(np.argmin(losses))
+    return Model(*pairs[best], *fits[best])
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

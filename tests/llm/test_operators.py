@@ -374,6 +374,23 @@ def test_toxicity_of_inflected_stems(spark):
     assert sum((r.score >= 0.5) == bool(r.toxic) for r in held) >= 0.9 * len(held)
 
 
+def test_toxicity_ranks_labels_that_mark_plain_text(spark):
+    """What tells the labels apart stands in text of label 0 only."""
+    draw = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        w = [f"{'bcdfghklmnprst'[a]}{'aeiou'[b]}{'lmnrst'[c]}" for a, b, c in zip(draw.integers(0, 14, 120), draw.integers(0, 5, 120), draw.integers(0, 6, 120), strict=True)]
+        if i % 3 == 0:
+            for at in draw.choice(120, 4, replace=False):
+                w[at] = ["wretched", "dimwit", "blockhead"][at % 3]
+        rows.append((i, " ".join(w), int(i % 3 != 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic").where("doc_id % 5 <> 0"))
+    held = toxicity.score(df, model).where("doc_id % 5 = 0").collect()
+    one, none = [[r.score for r in held if r.toxic == y] for y in (1, 0)]
+    assert np.mean([a > b for a in one for b in none]) >= 0.9
+
+
 @pytest.mark.parametrize("data", ["documents", "awkward"])
 def test_toxicity_equals_a_plain_loop(request, spark, documents, data):
     model = toxicity.train(documents, spark.read.parquet(f"{SF}/labels.parquet"))
