@@ -174,3 +174,22 @@ def test_emit_reduce_on_one_hot_key(spark):
 
 def test_shared_dir_follows_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_folders_are_written_without_sorting_documents(spark, tmp_path, monkeypatch):
+    """The sort by folder in front of a write spilled whole documents."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, plain = [], DataFrameWriter.parquet
+
+    def held(self, path, **options):
+        seen.append(int(self._spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return plain(self, path, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", held)
+    df = spark.range(900).selectExpr("id", "2000 year", "cast(id % 12 + 1 as int) month", "cast(id % 25 + 1 as int) day")
+    sinks.write_daily(df, str(tmp_path / "daily"))
+    sinks.replace_partitions(df.where("month < 3"), str(tmp_path / "daily"))
+    rows = spark.read.parquet(str(tmp_path / "daily"))
+    assert len(seen) == 2 and min(seen) > 0
+    assert rows.count() == rows.select("id").distinct().count() == 900
