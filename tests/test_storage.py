@@ -193,3 +193,12 @@ def test_folders_are_written_without_sorting_documents(spark, tmp_path, monkeypa
     rows = spark.read.parquet(str(tmp_path / "daily"))
     assert len(seen) == 2 and min(seen) > 0
     assert rows.count() == rows.select("id").distinct().count() == 900
+
+
+def test_stored_texts_are_compressed(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id", "'T1_x' site", "'jobs.all' topic")
+    sinks.write_topics(rows, str(tmp_path / "topics"))
+    sinks.write(rows, str(tmp_path / "json"), fmt="json")
+    for place in ("topics", "json"):
+        assert {p.suffix for p in (tmp_path / place).rglob("part-*")} == {".gz"}
+        assert spark.read.json(str(tmp_path / place)).count() == 50
