@@ -10,6 +10,29 @@ from jobledger.session import materialise
 
 CONTAINERS = ["struct", "array"]
 
+# Parts of JSON text, possessive, so that no text can exhaust the matcher's stack.
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_KEY = rf"{_TEXT}\s*+:"
+_NUMBER = r"-?[0-9]++(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+_FRACTION = r"-?[0-9]++(?:\.[0-9]++(?:[eE][+-]?[0-9]++)?+|[eE][+-]?[0-9]++)"
+# Longer whole numbers stay as they are: whether they are a bigint takes their value.
+_WHOLE = r"-?[0-9]{1,18}+(?![0-9.eE])"
+
+
+def shape(text: Column) -> Column:
+    """A JSON text with one value for all of a kind: texts are ``""``, fractions 0.5, whole numbers 0, false is true.
+
+    Keys, order and lengths of lists stay, so a shape has the same kinds at the same paths.  Each
+    pattern goes on where the one before ended: what it skips are whole keys and values.
+    """
+    def each(rows: Column, value: str, skipped: str, by: str) -> Column:
+        return F.regexp_replace(rows, rf"(?s)\G((?:{skipped})*+){value}", f"$1{by}")
+
+    text = each(text, _TEXT, rf'[^"]++|{_KEY}', '""')
+    text = each(text, _FRACTION, rf'[^"0-9-]++|{_TEXT}|(?!{_FRACTION}){_NUMBER}', "0.5")
+    text = each(text, _WHOLE, rf'[^"0-9-]++|{_TEXT}|(?!{_WHOLE}){_NUMBER}', "0")
+    return each(text, "false", rf'[^"f]++|{_TEXT}', "true")
+
 
 def _kind(value: Column) -> Column:
     name = F.schema_of_variant(value)
@@ -25,15 +48,17 @@ def value_kinds(documents: DataFrame, column: str = "doc", most_keys: int = 200)
     of a map).  An object path with more than ``most_keys`` different keys is a
     map (kind ``map``, n = 0): its keys are data, not names; a document itself is none.  Texts that are no JSON have no path.
 
-    One pass over the documents per level of nesting; values are counted where they
-    are read, so what is shuffled is a row per path and kind of each task.
+    One pass over the documents counts their shapes; the passes per level of nesting go over
+    the different shapes only, with a row per path and kind of each task shuffled.
     """
     spark = documents.sparkSession
-    level = documents.select(F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where(F.col("v").isNotNull())
+    whole = documents.where(F.try_parse_json(F.col(column)).isNotNull())
+    shapes = materialise(whole.groupBy(shape(F.col(column)).alias("shape")).agg(F.count("*").alias("times")), "shapes")
+    level = shapes.select(F.lit("$").alias("path"), F.try_parse_json("shape").alias("v"), "times")
     found = None
     while True:
         level = level.withColumn("kind", _kind(F.col("v")))
-        counts = materialise(level.groupBy("path", "kind").agg(F.count("*").alias("n")), "kinds")
+        counts = materialise(level.groupBy("path", "kind").agg(F.sum("times").alias("n")), "kinds")
         found = counts if found is None else found.unionByName(counts)
         if counts.where(F.col("kind").isin(CONTAINERS)).isEmpty():
             return found
@@ -43,7 +68,7 @@ def value_kinds(documents: DataFrame, column: str = "doc", most_keys: int = 200)
         if maps:
             found = found.unionByName(spark.createDataFrame([(p, "map", 0) for p in maps], "path string, kind string, n long"))
         own = F.when(F.col("kind") == "array", "[]").when(F.col("path").isin(maps), "{}").otherwise(F.concat(F.lit("."), "key"))
-        level = inside.select(F.concat("path", own).alias("path"), F.col("value").alias("v"))
+        level = inside.select(F.concat("path", own).alias("path"), F.col("value").alias("v"), "times")
 
 
 def _join(kinds: set[str]) -> str:

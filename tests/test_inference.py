@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from jobledger.operators import inference
 from jobledger.operators.quality import validate
@@ -52,3 +53,31 @@ def test_documents_fit_what_was_inferred_from_them(docs):
 
 def test_no_documents(docs):
     assert [tuple(r) for r in inference.type_rows(docs.where("doc = 'no json'")).collect()] == [("$", "null", 0, 0)]
+
+
+AWKWARD = [
+    r'{"a:\"1": "x\"y: 5, false", "b" : "\\\\", "c": [true, false, null, "", 0, -1, 12.5, 1e5, -2E-3, 1.5e+7]}', '"only: 5"', "-7", "2.0", "false", "[]",
+    '{"big": 9223372036854775807, "bigger": 9223372036854775808, "at": 999999999999999999, "long": 123456789012345678901234567890123456789012}',
+    '{"false": false, "f": "false", "1": 1, "1.5": -0, "n": {"-3": [[1], [2.5, "z"], {}]}}', '{"a": 1, "a": 2}', '{"a": 01}', '{"a": tru}', '{"k": "\u00e9\u20ac"}', "x",
+]
+
+
+def test_a_shape_has_the_kinds_of_its_text(spark):
+    """Equal to the kinds of the texts themselves, for marks inside texts and keys, and numbers of any length."""
+    rows = spark.createDataFrame([(t,) for t in AWKWARD], "doc string")
+    kinds = lambda c: F.schema_of_variant(F.try_parse_json(c))
+    for r in rows.select("doc", kinds("doc").alias("own"), kinds(inference.shape(F.col("doc"))).alias("shaped")).collect():
+        loose = lambda t: t and t.replace("FLOAT", "DOUBLE").split("DECIMAL")
+        if r.own is not None and "DECIMAL" not in r.own and "DECIMAL" not in r.shaped:
+            assert loose(r.own) == loose(r.shaped), r.doc
+    found = {(r.path, r.kind): r.n for r in inference.value_kinds(rows).collect()}
+    assert found["$", "string"] == 1 and found["$", "bigint"] == 1 and found["$", "double"] == 1 and found["$", "struct"] == 4
+    assert found["$.c[]", "bigint"] == 2 and found["$.c[]", "double"] == 4 and found["$.c[]", "boolean"] == 2 and found["$.c[]", "string"] == 1
+    assert found["$.big", "bigint"] == 1 and found["$.bigger", "double"] == 1 and found["$.at", "bigint"] == 1 and ("$.a", "bigint") not in found
+
+
+def test_levels_are_read_from_shapes(spark):
+    """Many documents of few shapes: what is kept for the levels is a row per shape, not per document."""
+    docs = spark.range(3000).select(F.concat(F.lit('{"a": '), "id", F.lit(', "b": ["'), "id", F.lit('", '), F.col("id") / 7, F.lit("]}")).alias("doc"))
+    assert docs.select(inference.shape(F.col("doc"))).distinct().count() <= 2
+    assert {(r.path, r.type, r.n) for r in inference.type_rows(docs).collect()} >= {("$.a", "bigint", 3000), ("$.b[]", "string", 6000)}
