@@ -13,7 +13,7 @@ from jobledger.plans.q_quality import DOCUMENT_SCHEMA
 from jobledger.session import shared_dir
 from jobledger.sources import sinks
 from jobledger.sources.archive import archive, stream_archive
-from jobledger.sources.reports import read_reports, steps_from_map
+from jobledger.sources.reports import read_documents, read_reports, steps_from_map
 from jobledger.sources.tables import raw_documents, table
 from jobledger.streaming.ingest import enrich, ingest_stream, migrate
 from jobledger.streaming.live import live_rollup, read_live, write_live
@@ -202,3 +202,32 @@ def test_stored_texts_are_compressed(spark, tmp_path):
     for place in ("topics", "json"):
         assert {p.suffix for p in (tmp_path / place).rglob("part-*")} == {".gz"}
         assert spark.read.json(str(tmp_path / place)).count() == 50
+
+
+def test_documents_that_lie_by_folder_are_not_shuffled(spark, tmp_path):
+    """Rows of a table in a like layout are written from where they are; scattered ones are put together first."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    scattered = spark.range(4000).selectExpr("id", "2000 year", "cast(id % 12 + 1 as int) month", "cast(id % 25 + 1 as int) day")
+    assert "Rebalance" in plan(sinks.together(scattered, ["year", "month", "day"]))
+    sinks.write_daily(scattered, str(tmp_path / "months"), by=["year", "month"])
+    lying = spark.read.parquet(str(tmp_path / "months"))
+    assert "Rebalance" not in plan(sinks.together(lying, ["year", "month", "day"]))
+    sinks.write_daily(lying, str(tmp_path / "days"))
+    assert spark.read.parquet(str(tmp_path / "days")).orderBy("id").select("id", "day").collect() == lying.orderBy("id").select("id", "day").collect()
+
+
+def test_fewer_files_without_a_shuffle(spark, tmp_path):
+    spark.range(0, 900, 1, 6).write.parquet(str(tmp_path / "six"))
+    six = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "six")).repartition(6)
+    for n in (3, 9):
+        sinks.write(six, str(tmp_path / f"n{n}"), n=n)
+        assert len(list((tmp_path / f"n{n}").glob("part-*"))) == n and spark.read.parquet(str(tmp_path / f"n{n}")).count() == 900
+
+
+def test_old_steps_are_parsed_once(spark, tmp_path):
+    """A map of steps was parsed again for each of its keys."""
+    (tmp_path / "old.json").write_text(json.dumps({"meta_data": {"ts": 5}, "steps": {"b": {"site": "T1"}, "a": {"site": "{}"}}}))
+    rows = read_documents(spark, str(tmp_path / "old.json"))
+    assert [(s.name, s.site) for s in rows.first().steps] == [("a", None), ("b", "T1")]
+    plan = rows.select("steps")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(MapType") == 1
