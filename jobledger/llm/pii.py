@@ -31,8 +31,6 @@ WIDER = {
 IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})(?:\.|$)){4}$"
 FEATURES = ("kind", "chars", "digits", "marks", "dots", "plus", "at", "groups", "longest", "largest", "checksum",
             "letter_before", "letter_after", "letters_near", "digits_near")
-CANDIDATES = 20_000
-DOCUMENTS = 20_000
 PRECISION = 0.99
 TREES, DEPTH = 10, 3
 
@@ -136,22 +134,20 @@ def tree_expression(model: GBTClassificationModel, value) -> Column:
     return total
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, most: int = CANDIDATES,
-          precision: float = PRECISION, trees: int = TREES, depth: int = DEPTH) -> tuple[GBTClassificationModel, list[float]] | None:
-    """Boosted trees and a threshold for each kind, from at most ``most`` candidates of about ``documents`` texts.
+def train(df: DataFrame, text_col: str = "text", precision: float = PRECISION, trees: int = TREES,
+          depth: int = DEPTH) -> tuple[GBTClassificationModel, list[float]] | None:
+    """Boosted trees and a threshold for each kind, from all candidates of all texts.
 
     A candidate is right if a span of the fixed patterns of its kind lies within it.  Two
     thirds train the trees; the others calibrate: a kind's threshold is the
     lowest margin from which the share of right ones is ``precision`` or more,
     counted by margins rounded to hundredths.  None if a class is missing.
     """
-    ids = df.select(F.xxhash64(F.col(id_col), F.lit("pii")).alias("h"), F.col(id_col).alias("__id")).where(
-        F.col("__id").isNotNull()).orderBy("h", "__id").limit(documents).select("__id").distinct()
-    rows = df.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "__id", "left_semi")
+    rows = df.select(text_of(text_col).alias("text"))
     held = rows.select(candidates(F.col("text")).alias("c"), F.array(*[base_spans(F.col("text"), k) for k in KINDS]).alias("b"))
     right = F.exists(F.get("b", F.col("x.kind").cast("int")), lambda s: _overlaps(s, F.col("x"))).cast("double")
     each = held.select("b", F.explode("c").alias("x")).select(right.alias("label"), "x.*")
-    each = materialise(each.orderBy(F.xxhash64(*FEATURES, "start")).limit(most), "candidates")
+    each = materialise(each, "candidates")
     each = VectorAssembler(inputCols=list(FEATURES), outputCol="v").transform(each)
     fold = F.pmod(F.xxhash64(*FEATURES, "start", "end"), F.lit(3))
     fit = each.where(fold > 0)

@@ -512,3 +512,18 @@ def test_pipeline(spark):
     rows = corpus_pipeline.STAGES[-1][1](spark, before, SF).collect()
     assert bag((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == bag(
         (i, *p) for i, t in texts(before) for p in brute.pieces(TOKENS, t))
+
+
+def test_trees_learn_from_all_candidates(spark, monkeypatch):
+    """Training took 20,000 candidates of 20,000 texts."""
+    seen = []
+
+    def held(df, label):
+        seen.append(df.count())
+        raise InterruptedError
+
+    monkeypatch.setattr(pii, "materialise", held)
+    df = spark.range(20500).select(F.col("id").alias("doc_id"), F.concat(F.lit("mail a"), "id", F.lit("@b.org now")).alias("text"))
+    with pytest.raises(InterruptedError):
+        pii.train(df)
+    assert seen == [20500]
