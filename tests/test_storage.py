@@ -231,3 +231,12 @@ def test_old_steps_are_parsed_once(spark, tmp_path):
     assert [(s.name, s.site) for s in rows.first().steps] == [("a", None), ("b", "T1")]
     plan = rows.select("steps")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(MapType") == 1
+
+
+def test_reports_of_a_day_and_part_lie_together_in_the_archive(spark):
+    """In the order of their line items, files of documents were a tenth larger."""
+    rows = archive(spark, SF).select("_metadata.file_path", "meta.ts", F.get("lfns", F.lit(0)).alias("file")).collect()
+    files = {}
+    for r in rows:
+        files.setdefault(r.file_path, []).append((r.ts // 86400, int(r.file.removeprefix("/store/in/").removesuffix(".root"))))
+    assert len(files) > 50 and all(places == sorted(places) for places in files.values())
