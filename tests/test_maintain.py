@@ -116,3 +116,13 @@ def test_rollup_of_one_range_equals_the_whole(spark, make, tmp_path):
     got = spark.read.parquet(f"{target}/rows").drop(*BY)
     want = rollup(df, "day").select(*got.columns)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_a_comparison_shuffles_ids_and_hashes_only(spark, make, tmp_path):
+    """The documents of differing partitions were shuffled to find those of differing buckets."""
+    left = make(*[report(f"r{i}", lfns=[f"file{i}"]) for i in range(40)])
+    right = left.withColumn("wall_s", F.lit(7))
+    compared = hashtree.build_and_compare(spark, left, right, str(tmp_path / "trees"))
+    assert compared.count() == 40
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "bucket" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
