@@ -126,3 +126,22 @@ def test_a_comparison_shuffles_ids_and_hashes_only(spark, make, tmp_path):
     assert compared.count() == 40
     plan = compared._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "bucket" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_roll_up_rows_are_not_staged(spark, make, tmp_path, monkeypatch):
+    """They were written, read again and only then stored; what is staged now are listings of files."""
+    staged = []
+    real = maintain.materialise
+    monkeypatch.setattr(maintain, "materialise", lambda df, label: staged.append((label, set(df.columns))) or real(df, label))
+    source, target = str(tmp_path / "s"), str(tmp_path / "t")
+    run = lambda: maintain.aggregate_range(spark, source, target, *WHOLE, metrics=[])
+    for day in (1, 2):
+        sinks.write_daily(make(at(f"a{day}", day), at(f"b{day}", day)), source)
+        run()
+    assert stored(spark, target) == [(1, 2), (2, 2)]
+    for day in (1, 2):
+        delete_path(spark, f"{source}/year=2017/month=1/day={day}")
+    assert run() == [(2017, 1, 1), (2017, 1, 2)] and not list((tmp_path / "t" / "rows").rglob("*.parquet"))
+    sinks.write_daily(make(at("c", 3)), source)
+    assert run() == [(2017, 1, 3)] and stored(spark, target) == [(3, 1)]
+    assert staged and all("count" not in columns and "records" not in columns for _, columns in staged)
