@@ -95,3 +95,17 @@ def test_suggestions_evaluate_each_filter_once(spark, reports):
 def test_traces_explode_their_edges_once():
     text = (Path(__file__).resolve().parents[1] / "jobledger/operators/lineage.py").read_text()
     assert text.split("def hop")[1].count("explode") == 0
+
+
+def test_the_stored_roll_up_shuffles_no_constants(spark, reports, monkeypatch):
+    """End and precision of the buckets went through the shuffle by month with each row."""
+    from jobledger.sources import archive as stored
+
+    seen = []
+    real = stored.closed
+    monkeypatch.setattr(stored, "closed", lambda df, *more: seen.append(df) or real(df, *more))
+    monkeypatch.setattr(stored, "_WRITTEN", {p for p in stored._WRITTEN if not p.endswith("-rollup")})
+    rows = daily_rollup(spark, SF)
+    assert not {"end_date", "precision"} & set(seen[0].columns)
+    assert rows.columns == [*rollup(reports).columns, "year", "month"]
+    assert rows.where("end_date = start_date + interval 1 day and precision = 'day'").count() == rollup(reports).count()
