@@ -109,3 +109,10 @@ def test_the_stored_roll_up_shuffles_no_constants(spark, reports, monkeypatch):
     assert not {"end_date", "precision"} & set(seen[0].columns)
     assert rows.columns == [*rollup(reports).columns, "year", "month"]
     assert rows.where("end_date = start_date + interval 1 day and precision = 'day'").count() == rollup(reports).count()
+
+
+def test_documents_are_verified_once(spark):
+    """The wrong ones were found anew for each of their two uses."""
+    from jobledger.plans.catalog import QUERIES
+
+    assert "sha2" not in plan(QUERIES["s09_verify_reports"](spark, SF))
