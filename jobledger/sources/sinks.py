@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -60,13 +61,16 @@ class Append:
 
 # An id table of up to this measured size is sent to the documents, so that these stay where they are.
 SENT_IDS = "64m"
+# So are the bits of rows to leave out, one per row of a batch: these are a thousand million rows.
+SENT_BITS = "128m"
 
 
 def plan_append(df: DataFrame, path: str, key: str = "report_id", order: tuple[str, ...] = ("ingest_ts",)) -> Append:
     """The rows of a batch whose id the table at ``path`` does not have, one per id.
 
     Ids are compared with the index beside the table (``idindex``), and only ids,
-    hashes and row numbers are shuffled for it, never documents.  Of rows with one id the earliest by
+    hashes and row numbers are shuffled for it.  What is left out are bits by row number, which ``store``
+    sends to the documents, so that these stay where they are however many ids are known.  Of rows with one id the earliest by
     ``order`` (the columns the batch has) counts, then the one with the smallest hash, then the first.  Rows
     without an id are no copies of each other: all are new.  The batch must come out in the same
     order each time it is read, as written tables do.
@@ -90,19 +94,39 @@ def plan_append(df: DataFrame, path: str, key: str = "report_id", order: tuple[s
         return Append(told.arrived, 0, None)
     row = "_row_in_batch"
     rows = df.withColumn(row, F.monotonically_increasing_id())
+    gone = []
     if told.several:
         place = F.struct(*[F.col(c) for c in order if c in df.columns], F.xxhash64(*df.columns), F.col(row).alias("at"))
         with settings(spark, spark__sql__legacy__allowHashOnMapType="true"):
             contested = rows.select(key, place.alias("place")).join(ids.where(several).select(key), key, "left_semi")
             contested = materialise(contested, "contested")
         first = contested.groupBy(key).agg(F.min("place").alias("first")).select(F.col("first.at").alias(row))
-        lost = contested.select(F.col("place.at").alias(row)).join(first, row, "left_anti")
-        rows = rows.join(materialise(lost, "lost"), row, "left_anti")
+        gone.append(contested.select(F.col("place.at").alias(row)).join(first, row, "left_anti"))
     if told.known:
-        rows = rows.join(ids.where("known").select(key), key, "left_anti")
+        gone.append(rows.select(key, row).join(ids.where("known").select(key), key, "left_semi").select(row))
+    if gone:
+        rows = without_rows(rows, row, reduce(DataFrame.unionByName, gone))
     return Append(told.arrived, told.new, rows.select(*df.columns))
 
 
+def without_rows(df: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows whose number in ``row`` the one column of ``gone`` does not have, which is staged as one bit per row."""
+    number = F.col(row) + 1
+    bits = gone.groupBy(F.bitmap_bucket_number(number).alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"))
+    bits = materialise(bits, "gone")
+    at = f"bitmap_bit_position(`{row}` + 1)"
+    marked = f"shiftright(cast(conv(hex(substring(_bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int), cast({at} % 8 as int)) & 1 = 1"
+    return df.join(bits, F.expr(f"bitmap_bucket_number(`{row}` + 1) = _block and {marked}"), "left_anti")
+
+
+def store(plan: Append, path: str, partition_by: list[str] | None = None) -> None:
+    """Write the rows of an append, with the bits of those to leave out sent to the documents."""
+    if plan.rows is not None:
+        with settings(plan.rows.sparkSession, spark__sql__autoBroadcastJoinThreshold=SENT_BITS,
+                      spark__sql__adaptive__autoBroadcastJoinThreshold=SENT_BITS):
+            write(plan.rows, path, partition_by=partition_by)
+
+
 def append_new(df: DataFrame, path: str, key: str = "report_id", partition_by: list[str] | None = None,
                replayable: bool = False) -> Append:
     """Append documents whose id is not stored yet, wherever it is stored.
@@ -115,8 +139,7 @@ def append_new(df: DataFrame, path: str, key: str = "report_id", partition_by: l
     with staging(spark), settings(spark, spark__sql__adaptive__autoBroadcastJoinThreshold=SENT_IDS):
         batch = df if replayable else materialise(df, "batch")
         plan = plan_append(batch, path, key)
-        if plan.rows is not None:
-            write(plan.rows, path, partition_by=partition_by)
+        store(plan, path, partition_by)
     return plan
 
 

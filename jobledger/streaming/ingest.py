@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from jobledger.functions.scalar import random_id
 from jobledger.operators.quality import validate
 from jobledger.session import materialise, read_or_none, staging
-from jobledger.sources.sinks import append_new, plan_append, write
+from jobledger.sources.sinks import append_new, plan_append, store
 
 
 def enrich(df: DataFrame, now: Column | None = None, kind: str = "fwjr", stage: str = "hot") -> DataFrame:
@@ -64,8 +64,7 @@ def migrate(spark: SparkSession, hot: str, cold: str, bad: str, checkpoint: str,
             if ledger:
                 _account(spark, ledger, number, seen.get, plans[cold].new, plans[bad].new)
             for path, plan in plans.items():
-                if plan.rows is not None:
-                    write(plan.rows, path)
+                store(plan, path)
 
     return (arrived.writeStream.foreachBatch(move).option("checkpointLocation", checkpoint)
                    .trigger(**(trigger or {"availableNow": True})).start())

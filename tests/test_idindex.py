@@ -60,3 +60,21 @@ def test_documents_are_not_shuffled(spark, tmp_path, kind):
     plan = sinks.plan_append(batch, path)
     text = plan.rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_documents_stay_where_they_are_however_many_ids_are_known(spark, tmp_path, monkeypatch):
+    """Above the size of an id table that is sent, documents were shuffled to be joined with known ids and with lost copies."""
+    from jobledger.session import settings
+
+    plans = []
+    real = sinks.write
+    monkeypatch.setattr(sinks, "write", lambda df, *a, **b: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a, **b))
+    monkeypatch.setattr(sinks, "SENT_IDS", "1b")
+    path, ids = str(tmp_path / "t"), [f"i{n}" for n in range(40000)]
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        assert sinks.append_new(table(spark, ids[::3]).repartition(2), path).new == 13334
+        again = table(spark, ids).repartition(3)
+        assert sinks.append_new(again.unionByName(again).unionByName(table(spark, [None, None])), path).new == 26668
+        assert sinks.append_new(again, path).rows is None
+    assert stored(spark, path) == sorted(["", "", *ids])
+    assert len(plans) == 2 and not any("Exchange hashpartitioning" in p for p in plans)
