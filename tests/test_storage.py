@@ -240,3 +240,11 @@ def test_reports_of_a_day_and_part_lie_together_in_the_archive(spark):
     for r in rows:
         files.setdefault(r.file_path, []).append((r.ts // 86400, int(r.file.removeprefix("/store/in/").removesuffix(".root"))))
     assert len(files) > 50 and all(places == sorted(places) for places in files.values())
+
+
+def test_notifications_are_compressed(spark, tmp_path):
+    from jobledger.streaming.notify import notify_stream
+
+    notify_stream(stream_archive(spark, SF), str(tmp_path / "topics"), str(tmp_path / "checkpoint"), ["jobs.exitCode", "jobs.all"], "jobs.all").awaitTermination()
+    files = list((tmp_path / "topics").glob("topic=*/part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
