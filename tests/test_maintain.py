@@ -145,3 +145,20 @@ def test_roll_up_rows_are_not_staged(spark, make, tmp_path, monkeypatch):
     sinks.write_daily(make(at("c", 3)), source)
     assert run() == [(2017, 1, 3)] and stored(spark, target) == [(3, 1)]
     assert staged and all("count" not in columns and "records" not in columns for _, columns in staged)
+
+
+def test_files_of_a_target_size_are_written_from_staged_files(spark, tmp_path, monkeypatch):
+    """All documents were shuffled and sorted twice for it."""
+    plans = []
+    real = sinks._stretch
+    monkeypatch.setattr(sinks, "_stretch", lambda *a: plans.append(real(*a)) or plans[-1])
+    df = spark.range(20_000).selectExpr("id", "sha2(string(id), 256) text", "if(id % 10 < 7, 'a b:c', null) day").repartition(5)
+    path = str(tmp_path / "t")
+    per_file = sinks.write_sized(df, path, 150_000, by=["day"])
+    texts = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(texts) > 5 and not any("Exchange" in t or "Sort" in t for t in texts)
+    back = spark.read.parquet(path)
+    assert back.exceptAll(df.select(*back.columns)).isEmpty() and back.count() == 20_000
+    counts = back.groupBy("day", F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect()
+    for day in ("a b:c", None):
+        assert sorted(r.n for r in counts if r.day == day)[1:] == [per_file] * (sum(r.day == day for r in counts) - 1)
