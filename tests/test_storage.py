@@ -242,6 +242,15 @@ def test_reports_of_a_day_and_part_lie_together_in_the_archive(spark):
     assert len(files) > 50 and all(places == sorted(places) for places in files.values())
 
 
+def test_a_folder_read_by_many_tasks_is_written_from_where_it_lies(spark, monkeypatch):
+    """Files were counted by folder alone, so that documents of a large table, whose folders many tasks read, were shuffled."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    large = spark.range(0, 600, 1, 6).selectExpr("id", "1 year")
+    assert "Rebalance" in plan(sinks.together(large, ["year"]))
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 100, raising=False)
+    assert "Rebalance" not in plan(sinks.together(large, ["year"]))
+
+
 def test_notifications_are_compressed(spark, tmp_path):
     from jobledger.streaming.notify import notify_stream
 
